@@ -47,3 +47,9 @@ def is_digit_row(text: Column) -> Column:
     """At least six digits that make up 60 % of the non-space characters."""
     digits = digit_count(text)
     return (digits >= 6) & (digits >= 0.6 * F.length(F.replace(text, F.lit(" "), F.lit(""))))
+
+
+def round_to(value: Column | str, places: int) -> Column:
+    """Round half to even at ``places`` decimals, on the binary value."""
+    scale = 10.0 ** places
+    return F.rint((F.col(value) if isinstance(value, str) else value) * scale) / scale

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packaudit import dims
+from packaudit.functions import text as tx
 from packaudit.functions import rules as ru, skew
 from packaudit.functions.rules import BORDERLINE, FAIL, NOT_ASSESSED, PASS
 
@@ -20,6 +21,10 @@ def effective_band() -> Column:
     return ru.model_band(band_inflation(), F.coalesce(F.col("band_penalty_mm"), F.lit(0.0)))
 
 
+def _why(code: str, text: Column) -> Column:
+    return F.struct(F.lit(code).alias("code"), text.alias("text"))
+
+
 def adjudicate(fields: DataFrame, model: DataFrame) -> DataFrame:
     """One verdict per declaration, refusing for the first reason that applies (Q7, Q8).
 
@@ -33,13 +38,12 @@ def adjudicate(fields: DataFrame, model: DataFrame) -> DataFrame:
         "bias_mm", "sigma_mm", "k", "band_override_mm", "min_px_per_mm", "apply_bias_correction")))
     low = (F.col("src_ppmm") > 0) & (F.col("src_ppmm") < F.col("min_px_per_mm"))
     refusal = (
-        F.when(~F.col("lookup_ok"), F.struct(F.lit("lookup").alias("code"), F.col("lookup_reason").alias("text")))
-        .when(~F.col("metric_ok"), F.struct(F.lit("scale"), F.coalesce(
-            F.col("scale_reason"), F.lit("no usable physical scale"))))
-        .when(~F.col("has_box"), F.struct(F.lit("box"), F.lit("numerals could not be boxed")))
-        .when(low, F.struct(F.lit("resolution"), F.format_string(
+        F.when(~F.col("lookup_ok"), _why("lookup", F.col("lookup_reason")))
+        .when(~F.col("metric_ok"), _why("scale", F.coalesce(F.col("scale_reason"), F.lit("no usable physical scale"))))
+        .when(~F.col("has_box"), _why("box", F.lit("numerals could not be boxed")))
+        .when(low, _why("resolution", F.format_string(
             "%.1f px/mm is below the %.0f px/mm floor", "src_ppmm", "min_px_per_mm")))
-        .when(F.col("measured_mm").isNull(), F.struct(F.lit("measurement"), F.coalesce(
+        .when(F.col("measured_mm").isNull(), _why("measurement", F.coalesce(
             F.col("meas_reason"), F.lit("no numeral height")))))
     df = df.withColumns({"_refusal": refusal, "_expected": F.when(F.col("informational"), F.lit(0)).otherwise(
         F.coalesce(F.col("expected_digits"), F.lit(0)))})
@@ -49,12 +53,11 @@ def adjudicate(fields: DataFrame, model: DataFrame) -> DataFrame:
         "_match": ru.count_matches(F.col("n_glyphs"), F.col("_expected")),
         "_mm": F.when(measured, F.col("measured_mm"))})
     doubt = (
-        F.when(F.col("informational"), F.struct(
-            F.lit("informational").alias("code"), F.lit("lettering, not numerals; for information").alias("text")))
-        .when(~F.col("_match"), F.struct(F.lit("count"), F.format_string(
+        F.when(F.col("informational"), _why("informational", F.lit("lettering, not numerals; for information")))
+        .when(~F.col("_match"), _why("count", F.format_string(
             "measured %d numeral(s) but the recogniser read %d", F.col("n_glyphs"), F.col("_expected"))))
-        .when(F.col("match_confidence") < dims.MIN_JUDGE_CONF, F.struct(
-            F.lit("confidence"), F.lit("identified only by a value pattern"))))
+        .when(F.col("match_confidence") < dims.MIN_JUDGE_CONF,
+              _why("confidence", F.lit("identified only by a value pattern"))))
     df = df.withColumn("_doubt", F.when(measured, doubt))
 
     def tier(required: Column) -> Column:
@@ -86,7 +89,7 @@ def overall(violations: Column, borderline: Column, not_assessed: Column) -> Col
 
 def mm_text(c: Column) -> Column:
     """Millimetres as a report shows them: three places, trailing zeros dropped to one."""
-    return F.coalesce(F.bround(c, 3).cast("string"), F.lit("None"))
+    return F.coalesce(tx.round_to(c, 3).cast("string"), F.lit("None"))
 
 
 def messages(consensus: bool = False) -> Column:

@@ -64,7 +64,7 @@ def consensus(rows: DataFrame, frames: DataFrame, model: DataFrame) -> DataFrame
     narrowed; a frame's plane penalty and low-count inflation do not carry over.
     """
     packs = base_frame(frames)
-    mm = F.bround("measured_mm", 3)
+    mm = tx.round_to("measured_mm", 3)
     has = F.coalesce(mm != 0, F.lit(False))
     good = has & F.col("verdict").isin(*ADJUDICATED)
     frame = F.col("frame_no")
@@ -84,7 +84,7 @@ def consensus(rows: DataFrame, frames: DataFrame, model: DataFrame) -> DataFrame
         F.first("ord").alias("ord"),
         F.count(F.when(F.col("present"), 1)).alias("frames_present"),
         F.bool_or(F.coalesce(F.length("value_text") > 0, F.lit(False))).alias("_any_text"),
-        F.bround(F.max(F.coalesce("match_confidence", F.lit(0.0))), 2).alias("match_confidence"),
+        tx.round_to(F.max(F.coalesce("match_confidence", F.lit(0.0))), 2).alias("match_confidence"),
         F.bool_or(F.coalesce("informational", F.lit(False))).alias("informational"),
         F.bool_or(F.col("_has") | F.coalesce(F.col("required_mm") != 0, F.lit(False))).alias("listed"),
         F.min_by(shown, _best_first(F.col("label_ppmm"), frame)).alias("base"),

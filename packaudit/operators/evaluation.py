@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packaudit import dims
+from packaudit.functions import text as tx
 from packaudit.functions import quantity, rules as ru, skew
 from packaudit.functions.rules import ADJUDICATED, BORDERLINE, FAIL, NOT_ASSESSED, PASS
 
@@ -294,8 +295,8 @@ def derive_gates(records: DataFrame, k: float = 4.0) -> DataFrame:
     compared at four decimals); 12 otherwise. The band covers the 99th percentile.
     """
     sweep = floor_sweep(records)
-    passes = ((F.col("n") >= dims.FLOOR_MIN_SAMPLES) & (F.bround("p95_abs_mm", 4) <= dims.FLOOR_MAX_P95)
-              & (F.bround("sigma_mm", 4) <= dims.FLOOR_MAX_SIGMA))
+    passes = ((F.col("n") >= dims.FLOOR_MIN_SAMPLES) & (tx.round_to("p95_abs_mm", 4) <= dims.FLOOR_MAX_P95)
+              & (tx.round_to("sigma_mm", 4) <= dims.FLOOR_MAX_SIGMA))
     chosen = sweep.agg(F.coalesce(F.min(F.when(passes, F.col("floor"))), F.lit(dims.FLOOR_FALLBACK)).alias("floor"))
     out = sweep.join(F.broadcast(chosen), "floor")
     return out.withColumn("k", F.lit(float(k))).withColumn(
@@ -309,9 +310,9 @@ def derive_slope_gate(cases: DataFrame, min_deg: float = 0.25, factor: float = 1
     d = F.max(F.when(F.col("statistic") == "slope_spread_deg", F.col("p99")))
     limit = null.agg(s.alias("s"), d.alias("d"))
     return limit.select(
-        F.bround(F.greatest(F.lit(min_deg), F.coalesce(F.col("s") * factor, F.lit(0.0))), 3)
+        tx.round_to(F.greatest(F.lit(min_deg), F.coalesce(F.col("s") * factor, F.lit(0.0))), 3)
         .alias("max_baseline_slope_deg"),
-        F.bround(F.greatest(F.lit(min_deg * 2), F.coalesce(F.col("d") * factor, F.lit(0.0))), 3)
+        tx.round_to(F.greatest(F.lit(min_deg * 2), F.coalesce(F.col("d") * factor, F.lit(0.0))), 3)
         .alias("max_baseline_spread_deg"))
 
 
@@ -341,7 +342,7 @@ def band_sweep(records: DataFrame, model: DataFrame) -> DataFrame:
     """
     bands = F.array_sort(F.array_distinct(F.concat(
         F.array(*[F.lit(b) for b in dims.BAND_SWEEP]),
-        F.array_compact(F.array(F.bround("band_override_mm", 4))))))
+        F.array_compact(F.array(tx.round_to("band_override_mm", 4))))))
     rows = (measured(records, adjudicated=True).where(F.col("required_mm").isNotNull())
             .select("measured_mm", "gt_mm", "required_mm")
             .crossJoin(F.broadcast(model.select(bands.alias("bands"))))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from packaudit import dims
+from packaudit.functions import text as tx
 from packaudit.functions import skew
 from packaudit.functions.rules import FAIL, NOT_ASSESSED, PASS
 from packaudit.operators.capture import CALIBRATION_COLS, local_scale
@@ -108,7 +109,7 @@ def planarity(scans: DataFrame, words: DataFrame, model: DataFrame) -> DataFrame
     over_spread = F.greatest(F.lit(0.0), spread - F.col("max_baseline_spread_deg"))
     gross = (F.abs(med) > F.col("hard_baseline_slope_deg")) | (spread > F.col("hard_baseline_spread_deg"))
     degraded = ~gross & ((over > 0) | (over_spread > 0))
-    penalty = F.bround(F.col("coplanarity_mm_per_deg") * (over + dims.SPREAD_WEIGHT * over_spread), 4)
+    penalty = tx.round_to(F.col("coplanarity_mm_per_deg") * (over + dims.SPREAD_WEIGHT * over_spread), 4)
     return df.select(
         "scan_id", F.coalesce("n_baselines", F.lit(0)).alias("n_baselines"),
         F.when(known, med).alias("median_slope_deg"), F.when(known, spread).alias("slope_spread_deg"),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packaudit import dims, schemas
+from packaudit.functions import text as tx
 
 
 # ------------------------------------------------------------------ reports, records
@@ -62,8 +63,8 @@ def save_band_model(model: DataFrame, path: str) -> None:
 def model_from_fit(gates: DataFrame, slopes: DataFrame | None = None, k: float = 4.0) -> DataFrame:
     """A band model from derived gates, ready to save (E11, E12 -> S7)."""
     base = gates.select(
-        F.bround("bias_mm", 5).alias("bias_mm"), F.bround("sigma_mm", 5).alias("sigma_mm"), F.lit(k).alias("k"),
-        F.bround("band_mm", 5).alias("band_override_mm"), F.col("floor").alias("min_px_per_mm"),
+        tx.round_to("bias_mm", 5).alias("bias_mm"), tx.round_to("sigma_mm", 5).alias("sigma_mm"), F.lit(k).alias("k"),
+        tx.round_to("band_mm", 5).alias("band_override_mm"), F.col("floor").alias("min_px_per_mm"),
         F.format_string("fitted on %d measurements at or above %.0f px/mm", "n", "floor").alias("source"))
     if slopes is not None:
         base = base.crossJoin(F.broadcast(slopes))

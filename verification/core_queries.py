@@ -309,7 +309,7 @@ z AS (SELECT doc_id::VARCHAR AS scan_id, coalesce(n,0) AS n, CASE WHEN n>=3 THEN
 y AS (SELECT *, CASE WHEN md IS NULL THEN NULL WHEN abs(md)>5 OR sp>15 THEN 'gross'
   WHEN abs(md)>0.63::DOUBLE OR sp>5.212::DOUBLE THEN 'degraded' ELSE 'ok' END AS severity FROM z)
 SELECT scan_id, n AS n_baselines, {r6('md')} AS median_slope_deg, {r6('sp')} AS slope_spread_deg, severity,
-  {r6('''CASE WHEN severity='degraded' THEN round_even(0.035::DOUBLE*(greatest(0,abs(md)-0.63::DOUBLE)+0.25*greatest(0,sp-5.212::DOUBLE)),4)
+  {r6('''CASE WHEN severity='degraded' THEN round_even(0.035::DOUBLE*(greatest(0,abs(md)-0.63::DOUBLE)+0.25::DOUBLE*greatest(0,sp-5.212::DOUBLE))*10000.0::DOUBLE,0)/10000.0::DOUBLE
   ELSE 0 END''')} AS band_penalty_mm FROM y""").replace("\n, ln AS", ",\n ln AS"))
 def q3(spark, sf):
     return v.flat(gates.planarity(v.doc_scans(spark, sf), v.words(spark, sf), dims.band_model(spark)))
@@ -327,12 +327,13 @@ def q4(spark, sf):
 def _gates(spark, sf) -> DataFrame:
     """Some orders trip one or more gates."""
     k = F.col("o_orderkey")
+    def gate(when, seq, name, blocking):
+        return F.when(when, F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("gate"), F.lit(blocking).alias("b")))
+
     g = F.array_compact(F.array(
-        F.when(k % 5 == 0, F.struct(F.lit(1).alias("seq"), F.lit("EXCESSIVE_TILT").alias("gate"), F.lit(True).alias("b"))),
-        F.when(k % 3 == 0, F.struct(F.lit(2), F.lit("LOW_LEGIBILITY"), F.lit(False))),
-        F.when(k % 7 == 0, F.struct(F.lit(3), F.lit("PANEL_NOT_COPLANAR"), F.lit(True))),
-        F.when(k % 4 == 0, F.struct(F.lit(3), F.lit("PANEL_TILT_PENALTY"), F.lit(False))),
-        F.when(k % 2 == 0, F.struct(F.lit(4), F.lit("INSUFFICIENT_RESOLUTION"), F.lit(True)))))
+        gate(k % 5 == 0, 1, "EXCESSIVE_TILT", True), gate(k % 3 == 0, 2, "LOW_LEGIBILITY", False),
+        gate(k % 7 == 0, 3, "PANEL_NOT_COPLANAR", True), gate(k % 4 == 0, 3, "PANEL_TILT_PENALTY", False),
+        gate(k % 2 == 0, 4, "INSUFFICIENT_RESOLUTION", True)))
     return v.table(spark, sf, "orders").select(k.cast("string").alias("scan_id"), F.explode(g).alias("g")).select(
         "scan_id", "g.seq", "g.gate", F.col("g.b").alias("blocking_height"),
         F.when(F.col("g.seq") == 4, "mrp").alias("field"), F.lit("").alias("detail"))
@@ -394,8 +395,8 @@ def q9(spark, sf):
 
 def _messages(consensus: bool) -> str:
     height = "has_height AND NOT informational"
-    mm = "coalesce(round_even(measured_mm,3)::VARCHAR,'None')"
-    req = "coalesce(round_even(required_mm,3)::VARCHAR,'None')"
+    mm = "coalesce((round_even(measured_mm*1000.0::DOUBLE,0)/1000.0::DOUBLE)::VARCHAR,'None')"
+    req = "coalesce((round_even(required_mm*1000.0::DOUBLE,0)/1000.0::DOUBLE)::VARCHAR,'None')"
     size = f"field||': numeral height '||{mm}||' mm vs required '||{req}||' mm'"
     if consensus:
         why = "field||': presence not machine-assessable'"
@@ -403,7 +404,7 @@ def _messages(consensus: bool) -> str:
     else:
         why = ("field||': presence not machine-assessable'||CASE WHEN assessable THEN '' ELSE ' by rule' END||"
                "CASE WHEN legible THEN '' ELSE ' in an illegible frame' END")
-        width = "field||': glyph width is '||coalesce(round_even(ratio,3)::VARCHAR,'None')||' of its height, below one third'"
+        width = "field||': glyph width is '||coalesce((round_even(ratio*1000.0::DOUBLE,0)/1000.0::DOUBLE)::VARCHAR,'None')||' of its height, below one third'"
     rows = [("presence_verdict='FAIL'", "violation", "field||': declaration not found'"),
             ("presence_verdict='NOT_ASSESSED'", "open", why),
             (f"{height} AND verdict='FAIL'", "violation", size),
@@ -471,18 +472,18 @@ def c2(spark, sf):
     return cs.vote_value(rows, cs.base_frame(v.frames_of(rows)))
 
 
-_MERGED = _VOTE + """, b AS (SELECT *, round_even(measured_mm,3) AS mm, coalesce(round_even(measured_mm,3)<>0,false) AS has,
-  coalesce(round_even(measured_mm,3)<>0,false) AND verdict IN ('PASS','FAIL','BORDERLINE') AS good FROM packrows),
+_MERGED = _VOTE + """, b AS (SELECT *, (round_even(measured_mm*1000.0::DOUBLE,0)/1000.0::DOUBLE) AS mm, coalesce((round_even(measured_mm*1000.0::DOUBLE,0)/1000.0::DOUBLE)<>0,false) AS has,
+  coalesce((round_even(measured_mm*1000.0::DOUBLE,0)/1000.0::DOUBLE)<>0,false) AND verdict IN ('PASS','FAIL','BORDERLINE') AS good FROM packrows),
 u AS (SELECT *, bool_or(good) OVER p AS trusted FROM b WINDOW p AS (PARTITION BY pack_id, field)),
 us AS (SELECT pack_id, field, count(*) AS used, quantile_cont(mm,0.5) AS med, max(mm)-min(mm) AS spread,
-  arg_min(required_mm, frame_no) FILTER (WHERE required_mm IS NOT NULL) AS req, arg_min(width_verdict, frame_no) AS wv1,
+  arg_min(required_mm, frame_no) FILTER (WHERE required_mm IS NOT NULL) AS req, first(width_verdict ORDER BY frame_no) AS wv1,
   first(verdict ORDER BY frame_no) AS v1, first(reason_code ORDER BY frame_no) AS rc1, first(src_ppmm ORDER BY frame_no) AS src1,
   first(n_glyphs ORDER BY frame_no) AS ng1, first(expected_digits ORDER BY frame_no) AS ed1
   FROM u WHERE CASE WHEN trusted THEN good ELSE has END GROUP BY ALL),
 bs AS (SELECT * FROM packrows QUALIFY row_number() OVER (PARTITION BY pack_id, field ORDER BY label_ppmm DESC, frame_no)=1),
 fp AS (SELECT pack_id, field, any_value(ord) AS ord, count(*) FILTER (WHERE present) AS frames_present, bool_or(length(value_text)>0) AS any_text,
   bool_or(informational) AS info, bool_or(good) AS trusted, bool_or(has OR coalesce(required_mm<>0,false)) AS listed,
-  round_even(max(match_confidence),2) AS match_confidence FROM u GROUP BY ALL),
+  round_even(max(match_confidence)*100.0::DOUBLE,0)/100.0::DOUBLE AS match_confidence FROM u GROUP BY ALL),
 bf AS (SELECT pack_id, any_value(frame_no ORDER BY label_ppmm DESC, frame_no) AS x FROM frames GROUP BY pack_id),
 mg0 AS (SELECT fp.*, n_frames, used, med, spread, req, wv1, v1, rc1, src1, ng1, ed1, vote.value, coalesce(disagreed,false) AS values_disagreed,
   bs.presence_verdict AS bpv, bs.verdict AS bv, bs.width_verdict AS bwv, bs.required_mm AS breq, bs.reason_code AS brc, bs.src_ppmm AS bsrc,
