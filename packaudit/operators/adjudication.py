@@ -21,8 +21,26 @@ def effective_band() -> Column:
     return ru.model_band(band_inflation(), F.coalesce(F.col("band_penalty_mm"), F.lit(0.0)))
 
 
-def _why(code: str, text: Column) -> Column:
-    return F.struct(F.lit(code).alias("code"), text.alias("text"))
+REASON_TEXT = {
+    "box": "numerals could not be boxed",
+    "informational": "lettering, not numerals; for information",
+    "confidence": "identified only by a value pattern",
+}
+
+
+def reason_text() -> Column:
+    """Text of ``reason_code``, built only for the rows that carry one."""
+    code, none = F.col("reason_code"), F.lit("")
+    return (F.when(code.isNull(), none)
+            .when(code == "lookup", F.coalesce(F.col("lookup_reason"), none))
+            .when(code == "scale", F.coalesce(F.col("scale_reason"), F.lit("no usable physical scale")))
+            .when(code == "measurement", F.coalesce(F.col("meas_reason"), F.lit("no numeral height")))
+            .when(code == "resolution", F.format_string("%.1f px/mm is below the %.0f px/mm floor",
+                                                        "src_ppmm", "min_px_per_mm"))
+            .when(code == "count", F.concat(
+                F.lit("measured "), F.col("n_glyphs").cast("string"), F.lit(" numeral(s) but the recogniser read "),
+                F.col("_expected").cast("string")))
+            .otherwise(F.try_element_at(dims.literal_map(REASON_TEXT), code)))
 
 
 def adjudicate(fields: DataFrame, model: DataFrame) -> DataFrame:
@@ -32,52 +50,45 @@ def adjudicate(fields: DataFrame, model: DataFrame) -> DataFrame:
     lookup_reason, metric_ok, scale_gate, scale_reason, has_box, src_ppmm, meas_reason,
     measured_mm, median_width_mm, n_glyphs, expected_digits, match_confidence,
     value_text, band_penalty_mm. The order of refusals is part of the contract.
+
+    The code of the reason and a few flags are columns of their own, so that no later
+    expression repeats the chain and the generated method stays small enough to compile.
     """
-    keep = fields.columns
+    keep = [c for c in fields.columns if c not in ("measured_mm", "median_width_mm")]
     df = fields.crossJoin(F.broadcast(model.select(
         "bias_mm", "sigma_mm", "k", "band_override_mm", "min_px_per_mm", "apply_bias_correction")))
-    low = (F.col("src_ppmm") > 0) & (F.col("src_ppmm") < F.col("min_px_per_mm"))
-    refusal = (
-        F.when(~F.col("lookup_ok"), _why("lookup", F.col("lookup_reason")))
-        .when(~F.col("metric_ok"), _why("scale", F.coalesce(F.col("scale_reason"), F.lit("no usable physical scale"))))
-        .when(~F.col("has_box"), _why("box", F.lit("numerals could not be boxed")))
-        .when(low, _why("resolution", F.format_string(
-            "%.1f px/mm is below the %.0f px/mm floor", "src_ppmm", "min_px_per_mm")))
-        .when(F.col("measured_mm").isNull(), _why("measurement", F.coalesce(
-            F.col("meas_reason"), F.lit("no numeral height")))))
-    df = df.withColumns({"_refusal": refusal, "_expected": F.when(F.col("informational"), F.lit(0)).otherwise(
-        F.coalesce(F.col("expected_digits"), F.lit(0)))})
-    measured = F.col("_refusal").isNull()
+    low = F.coalesce((F.col("src_ppmm") > 0) & (F.col("src_ppmm") < F.col("min_px_per_mm")), F.lit(False))
+    df = df.withColumns({
+        "_expected": F.when(F.col("informational"), F.lit(0)).otherwise(F.coalesce("expected_digits", F.lit(0))),
+        "_band": effective_band(), "_inflation": band_inflation(),
+        "_refusal": F.when(~F.col("lookup_ok"), "lookup").when(~F.col("metric_ok"), "scale")
+        .when(~F.col("has_box"), "box").when(low, "resolution").when(F.col("measured_mm").isNull(), "measurement")})
     df = df.withColumns({
-        "_band": effective_band(),
+        "_ok": F.col("_refusal").isNull(),
         "_match": ru.count_matches(F.col("n_glyphs"), F.col("_expected")),
-        "_mm": F.when(measured, F.col("measured_mm"))})
-    doubt = (
-        F.when(F.col("informational"), _why("informational", F.lit("lettering, not numerals; for information")))
-        .when(~F.col("_match"), _why("count", F.format_string(
-            "measured %d numeral(s) but the recogniser read %d", F.col("n_glyphs"), F.col("_expected"))))
-        .when(F.col("match_confidence") < dims.MIN_JUDGE_CONF,
-              _why("confidence", F.lit("identified only by a value pattern"))))
-    df = df.withColumn("_doubt", F.when(measured, doubt))
-
-    def tier(required: Column) -> Column:
-        return ru.verdict(F.col("_mm"), required, F.col("_band"), F.col("bias_mm"), F.col("apply_bias_correction"))
-
-    judged = measured & ~F.col("informational")
-    ratio = F.when((F.col("median_width_mm") > 0) & (F.col("_mm") > 0), F.col("median_width_mm") / F.col("_mm"))
-    why = F.coalesce(F.col("_refusal"), F.col("_doubt"))
+        "_width": F.when((F.col("median_width_mm") > 0) & (F.col("measured_mm") > 0),
+                         F.col("median_width_mm") / F.col("measured_mm"))})
+    df = df.withColumns({
+        "reason_code": F.coalesce("_refusal", F.when(F.col("informational"), "informational")
+                                  .when(~F.col("_match"), "count")
+                                  .when(F.col("match_confidence") < dims.MIN_JUDGE_CONF, "confidence")),
+        "_judged": F.col("_ok") & ~F.col("informational")})
+
+    def tier(required: str) -> Column:
+        return ru.verdict(F.col("measured_mm"), F.col(required), F.col("_band"), F.col("bias_mm"),
+                          F.col("apply_bias_correction"))
+
+    ok, judged = F.col("_ok"), F.col("_judged")
     return df.select(
-        *[c for c in keep if c not in ("measured_mm", "median_width_mm")],
-        F.col("_mm").alias("measured_mm"), F.when(measured, F.col("median_width_mm")).alias("median_width_mm"),
-        F.when(measured, F.col("_band")).alias("error_band_mm"),
-        F.when(measured, band_inflation()).alias("band_inflation"),
-        F.when(measured, F.col("_match")).alias("glyph_count_matches_ocr"),
-        why["code"].alias("reason_code"), F.coalesce(why["text"], F.lit("")).alias("reason"),
-        F.when(why.isNotNull(), NOT_ASSESSED).otherwise(tier(F.col("required_mm"))).alias("verdict"),
-        F.when(judged & F.col("advisory_required_mm").isNotNull(), tier(F.col("advisory_required_mm")))
+        *keep, F.when(ok, F.col("measured_mm")).alias("measured_mm"),
+        F.when(ok, F.col("median_width_mm")).alias("median_width_mm"), F.when(ok, F.col("_band")).alias("error_band_mm"),
+        F.when(ok, F.col("_inflation")).alias("band_inflation"),
+        F.when(ok, F.col("_match")).alias("glyph_count_matches_ocr"), "reason_code", reason_text().alias("reason"),
+        F.when(F.col("reason_code").isNotNull(), NOT_ASSESSED).otherwise(tier("required_mm")).alias("verdict"),
+        F.when(judged & F.col("advisory_required_mm").isNotNull(), tier("advisory_required_mm"))
         .alias("advisory_verdict"),
-        F.when(judged, ratio).alias("width_to_height_ratio"),
-        F.when(judged, ru.width_verdict(ratio, F.col("value_text"))).alias("width_verdict"))
+        F.when(judged, F.col("_width")).alias("width_to_height_ratio"),
+        F.when(judged, ru.width_verdict(F.col("_width"), F.col("value_text"))).alias("width_verdict"))
 
 
 def overall(violations: Column, borderline: Column, not_assessed: Column) -> Column:
