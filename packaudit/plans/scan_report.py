@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packaudit import dims, schemas
 from packaudit.functions import text as tx
+from packaudit.session import stage
 from packaudit.operators import adjudication, capture, extraction, gates, glyphs, layout, rules
 
 
@@ -29,8 +30,8 @@ def measure_fields(glyph_rows: DataFrame, chars: DataFrame, rois: DataFrame, sca
     rel = layout.chars_in_roi(chars, rois).join(
         rois.select("scan_id", "field", F.col("x").alias("_rx")), ["scan_id", "field"]).select(
         "scan_id", "field", "c", (F.col("x") - F.col("_rx")).alias("x"), "w")
-    shaped = glyphs.digit_restrict(glyphs.shape_filter(glyph_rows), rel)
-    kept = glyphs.height_consistent(shaped)
+    shaped = stage(glyphs.digit_restrict(glyphs.shape_filter(glyph_rows), rel), "shaped")
+    kept = stage(glyphs.height_consistent(shaped), "glyphs")
     fields = rois.select("scan_id", "field", F.col("w").alias("roi_w"), F.col("h").alias("roi_h"))
     why = glyphs.glyph_refusals(fields, shaped, kept)
     heights = glyphs.field_heights(kept, scale)
@@ -42,28 +43,32 @@ def measure_fields(glyph_rows: DataFrame, chars: DataFrame, rois: DataFrame, sca
 
 
 def build_declarations(src: Inputs, model: DataFrame, use_fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Judged declarations (six per scan) and the gate log."""
+    """Judged declarations (six per scan) and the gate log.
+
+    Lines, hits, value boxes and verdicts each feed several later steps, so they are
+    written once and read back instead of being computed again by every reader.
+    """
     spark = src.captures.sparkSession
     rule_rows, decl_rows = dims.rule_table(spark), dims.declarations(spark)
     scans = src.captures.select("scan_id")
 
     cal = capture.metric_scale(src.captures)
     cal_gate = gates.calibration_gate(cal, model)
-    cal = cal.join(cal_gate.select("scan_id", F.lit(False).alias("_ok")), "scan_id", "left").withColumn(
-        "metric_ok", F.coalesce("_ok", F.col("calib_ok"))).drop("_ok")
+    cal = stage(cal.join(cal_gate.select("scan_id", F.lit(False).alias("_ok")), "scan_id", "left").withColumn(
+        "metric_ok", F.coalesce("_ok", F.col("calib_ok"))).drop("_ok"), "captures")
 
-    lines = layout.rebuild_lines(layout.merge_passes(src.words))
+    lines = stage(layout.rebuild_lines(layout.merge_passes(src.words)), "lines")
     line_words = lines.select("scan_id", "line_no", F.posexplode("words").alias("word_no", "v")).select(
         "scan_id", "line_no", "word_no", "v.text", "v.x", "v.y", "v.w", "v.h", "v.conf")
-    hits = extraction.extract_fields(lines, scans, decl_rows, use_fuzzy)
+    hits = stage(extraction.extract_fields(lines, scans, decl_rows, use_fuzzy), "hits")
 
-    legible = gates.legibility(scans, line_words, cal, model)
-    plan = gates.planarity(scans, line_words, model)
+    legible = stage(gates.legibility(scans, line_words, cal, model), "legible")
+    plan = stage(gates.planarity(scans, line_words, model), "plan")
     plane_gate = gates.planarity_gate(plan, cal)
     frame_gates = gates.gate_log(cal_gate, gates.legibility_gate(legible), plane_gate)
     reason = gates.scale_reason(frame_gates)
 
-    rois = extraction.value_boxes(hits, lines)
+    rois = stage(extraction.value_boxes(hits, lines), "rois")
     res = gates.local_resolution(rois, cal).select("scan_id", "field", "src_ppmm")
     measured = measure_fields(src.glyphs, src.chars, rois,
                               cal.select("scan_id", F.col("rect_px_per_mm").alias("px_per_mm")))
@@ -85,7 +90,8 @@ def build_declarations(src: Inputs, model: DataFrame, use_fuzzy: bool = True) ->
               .withColumn("has_box", F.coalesce("_boxed", F.lit(False))).drop("_boxed")
               .withColumn("expected_digits", tx.digit_count(F.col("value_text"))))
     fields = rules.required_height(fields, rule_rows, decl_rows)
-    judged = adjudication.adjudicate(gates.presence_verdict(fields), model).withColumn("has_height", F.col("present"))
+    judged = stage(adjudication.adjudicate(gates.presence_verdict(fields), model)
+                   .withColumn("has_height", F.col("present")), "judged")
     low = gates.resolution_gate(
         judged.where(F.col("present") & (F.col("reason_code") == "resolution")), model)
     return judged, gates.gate_log(frame_gates, low)

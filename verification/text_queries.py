@@ -42,7 +42,7 @@ def digest_sql(keys: str, order: str, cols: list[str], src: str) -> str:
 
 
 # -------------------------------------------------------------------------- layout
-@query("p1_normalize_key", """SELECT doc_id, md5(upper(regexp_replace(text,'[^\\p{L}\\p{N}]+','','g'))) AS norm_md5,
+@query("p1_normalize_key", """SELECT doc_id, md5(replace(upper(regexp_replace(text,'[^\\p{L}\\p{N}]+','','g')),'ẞ','SS')) AS norm_md5,
   length(regexp_replace(text,'[^\\p{L}\\p{N}]+','','g')) AS n_kept FROM documents""")
 def p1(spark, sf):
     d = v.table(spark, sf, "documents")
@@ -528,8 +528,9 @@ def fall(spark, sf):
 
 # ------------------------------------------------------------------- whole reports
 def report_inputs(spark, sf) -> scan_report.Inputs:
-    """Labels of line items as recogniser tables: one capture, words, characters and glyphs each."""
-    lines = v.lines(spark, sf)
+    """Labels of parts as recogniser tables: one capture, words, characters and glyphs each."""
+    li = v.part_labels(spark, sf)
+    lines = v.label_lines(li)
     words = lines.select("scan_id", "line_no", "y", F.posexplode(F.split("text", " ")).alias("pos", "text"))
     n = F.length("text")
     before = W.partitionBy("scan_id", "line_no").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
@@ -539,16 +540,14 @@ def report_inputs(spark, sf) -> scan_report.Inputs:
         (n * 10).alias("w"), F.lit(20).alias("h"), F.lit(90.0).alias("conf")).where("text <> ''")
     chars = words.select("scan_id", "word_no", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("i", "c"), "x", "y").select(
         "scan_id", "c", (F.col("x") + F.col("i") * 10).alias("x"), "y", F.lit(9).alias("w"), F.lit(20).alias("h"))
-    li = v.table(spark, sf, "lineitem").join(v.table(spark, sf, "part").select("p_partkey", "p_size"),
-                                             F.col("l_partkey") == F.col("p_partkey"))
     digits = F.explode(F.sequence(F.lit(1), (F.col("l_suppkey") % 5 + 1).cast("int")))
-    glyphs = li.select(v.key5().alias("scan_id"), v._by(F.col("l_partkey") % 3, dims.JUDGED_FIELDS).alias("field"),
+    glyphs = li.select("scan_id", v._by(F.col("l_partkey") % 3, dims.JUDGED_FIELDS).alias("field"),
                        (F.col("l_quantity") + 5).alias("h0"), digits.alias("i")).select(
         "scan_id", "field", F.col("i").alias("glyph_no"), (F.col("i") * 10).alias("x"), F.lit(5).alias("y"), F.lit(8).alias("w"),
         F.col("h0").alias("h"), (F.col("h0") * 4).cast("int").alias("area"), F.lit(400).alias("crop_w"), F.lit(100).alias("crop_h"),
         (F.col("h0") + 0.25).alias("h_subpx"))
     captures = li.select(
-        v.key5().alias("scan_id"), F.col("l_shipdate").alias("ts"),
+        "scan_id", F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.when(F.col("l_suppkey") % 7 != 0, (F.col("l_suppkey") % 9 + 5).cast("double")).alias("known_px_per_mm"),
         F.lit(None).cast("array<struct<x:double,y:double>>").alias("corners"), F.lit(40.0).alias("marker_length_mm"),
         F.lit(2000).alias("img_w"), F.lit(1500).alias("img_h"), F.lit("normal").alias("print_style"),
@@ -580,10 +579,21 @@ def h1(spark, sf):
     return rows.select("scan_id", "net_quantity", "mrp", "manufacturer")
 
 
-@query("x6_report_lines")
+@query("x6_report_lines", with_("decl", """SELECT '2 declarations' AS section, count(*) AS n FROM decl UNION ALL SELECT '3 heights', count(*) FROM decl WHERE has_height
+  UNION ALL SELECT '1 calibration', (SELECT count(DISTINCT scan_id) FROM decl)+(SELECT count(*) FROM orders WHERE o_orderkey%5=0 AND o_orderkey::VARCHAR IN (SELECT scan_id FROM decl))
+  UNION ALL SELECT '5 uncertainty', count(DISTINCT scan_id) FROM decl UNION ALL SELECT '6 scope', 4*count(DISTINCT scan_id) FROM decl"""))
 def x6(spark, sf):
-    lines = pr.report_lines(_reports(spark, sf), dims.band_model(spark))
-    return lines.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    req = dims.literal_map(dict(dims.DECLARATIONS))
+    d = v.declarations(spark, sf).withColumns({
+        "requirement": F.try_element_at(req, F.col("field")), "raw_text": F.col("value_text"),
+        "notes": F.array().cast("array<string>")})
+    k = F.col("o_orderkey")
+    orders = v.table(spark, sf, "orders").select(k.cast("string").alias("scan_id"), F.col("o_orderdate").alias("ts"), k)
+    gate_rows = orders.where(k % 5 == 0).select(
+        "scan_id", F.lit(1).alias("seq"), F.lit("EXCESSIVE_TILT").alias("gate"), F.lit(True).alias("blocking_height"),
+        F.lit(None).cast("string").alias("field"), F.lit("tilt").alias("detail"))
+    lines = pr.report_lines(scan_report.assemble(orders, d, gate_rows), dims.band_model(spark))
+    return lines.where(~F.col("section").startswith("4")).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c_audit_packs")

@@ -121,8 +121,23 @@ LINE_COUNT = 10
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """A printed label per line item: ten possible lines, some left out."""
-    df = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    """A printed label per line item."""
+    return label_lines(table(spark, sf, "lineitem").join(
+        table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("scan_id", key5()))
+
+
+def part_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns of a label for every part."""
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(
+        k.cast("string").alias("scan_id"), k.alias("l_partkey"), (k % 97).alias("l_suppkey"),
+        (k % 7 + 1).cast("int").alias("l_linenumber"), (k % 50 + 1).cast("double").alias("l_quantity"),
+        F.date_add(F.lit("1995-01-15").cast("date"), (k % 900).cast("int")).alias("l_shipdate"),
+        "p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
+
+
+def label_lines(df: DataFrame) -> DataFrame:
+    """Ten possible lines per label, some left out."""
     q = F.col("l_quantity").cast("int")
     cents = F.floor(F.col("p_retailprice") * 100 + 0.5)
     rs, ps = F.floor(cents / 100).cast("string"), F.lpad((cents % 100).cast("string"), 2, "0")
@@ -154,7 +169,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     ]
     rows = F.array_compact(F.array(*[F.when(t.isNotNull(), F.struct(F.lit(i).alias("slot"), t.alias("text")))
                                      for i, t in enumerate(texts)]))
-    return df.select(key5().alias("scan_id"), F.posexplode(rows).alias("line_no", "r")).select(
+    return df.select("scan_id", F.posexplode(rows).alias("line_no", "r")).select(
         "scan_id", "line_no", F.col("r.text").alias("text"), F.lit(0).alias("x"), (F.col("r.slot") * 40).alias("y"),
         (F.length("r.text") * 10).alias("w"), F.lit(20).alias("h"))
 
