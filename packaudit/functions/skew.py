@@ -24,6 +24,13 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
+def last_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row of each key with the largest ``order``, combined map-side like ``first_by``."""
+    rest = [c for c in df.columns if c not in keys]
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
+    return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+
 def ranked(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
     """Row number from 1 per key, where ``bucket`` never decreases along ``order``.
 

@@ -34,7 +34,7 @@ def history_rows(reports: DataFrame, batch_seq: int | Column = 0) -> DataFrame:
 
 def upsert_history(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Latest row per scan; a later batch replaces the whole row."""
-    return skew.first_by(existing.unionByName(new), ["scan_id"], [-F.col("batch_seq")]).select(*existing.columns)
+    return skew.last_by(existing.unionByName(new), ["scan_id"], "batch_seq").select(*existing.columns)
 
 
 def get_scan(history: DataFrame, scan_id: str) -> DataFrame:

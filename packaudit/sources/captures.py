@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "webp", "bmp", "heic", "heif"]
 FILE_COLS = ["path", "modificationTime", "length"]
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def _wanted(path: Column, extensions: list[str]) -> Column:
@@ -33,7 +34,7 @@ def stream_inbox(spark: SparkSession, path: str, archive: str, extensions: list[
     The archive must lie outside the folder. A file moves once the batch after its own
     has started; below the archive it keeps its source path, so names cannot collide.
     """
-    files = (spark.readStream.format("binaryFile")
+    files = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
              .option("cleanSource", "archive").option("sourceArchiveDir", archive)
              .option("maxFilesPerTrigger", max_files).load(path))
     return _named(files, extensions or IMAGE_EXTENSIONS)

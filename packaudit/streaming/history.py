@@ -22,7 +22,7 @@ def stream_history(rows: DataFrame, path: str, checkpoint: str, order: str | Non
     Within a batch the last row per scan wins, by ``order`` when the batch carries one.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest = skew.first_by(batch, ["scan_id"], [-F.col(order)]) if order else batch.dropDuplicates(["scan_id"])
+        latest = skew.last_by(batch, ["scan_id"], order) if order else batch.dropDuplicates(["scan_id"])
         (latest.withColumn("batch_seq", F.lit(batch_id).cast("bigint"))
          .write.mode("overwrite").parquet(f"{path}/{LOG_COL}={batch_id}"))
 
@@ -32,7 +32,7 @@ def stream_history(rows: DataFrame, path: str, checkpoint: str, order: str | Non
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Current history: the latest logged row of each scan."""
     log = spark.read.option("basePath", path).parquet(path).drop(LOG_COL)
-    return skew.first_by(log, ["scan_id"], [-F.col("batch_seq")])
+    return skew.last_by(log, ["scan_id"], "batch_seq")
 
 
 def compact_history(spark: SparkSession, path: str, target: str) -> None:
