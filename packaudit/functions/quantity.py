@@ -60,9 +60,10 @@ def _dated(text: Column, pattern: str, month: Column, year_group: int) -> Column
     year = F.regexp_extract(text, pattern, year_group)
     full = F.when(F.length(year) == 4, year.try_cast("int")).otherwise(year.try_cast("int") + 2000)
     hit = F.regexp_extract(text, pattern, 0)
-    return F.when((hit != "") & month.between(1, 12) & full.between(2000, 2099), F.struct(
+    read = F.when(month.between(1, 12) & full.between(2000, 2099), F.struct(
         month.alias("month"), full.alias("year"), hit.alias("text"),
         (F.regexp_instr(text, F.lit(pattern)) - 1).alias("pos")))
+    return F.when(text.rlike(pattern), read)
 
 
 def parse_month_year(text: Column, strict_compat: bool = False) -> Column:

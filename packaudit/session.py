@@ -20,6 +20,8 @@ def local_session(cpus: int = 8, app: str = "packaudit") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("PACKAUDIT_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # The JVM never compiles a method over 8000 bytes; beyond it, separate operators are faster.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
