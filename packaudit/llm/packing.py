@@ -31,8 +31,8 @@ from tokenizers import Tokenizer
 
 WINDOW = 2048
 END = 1
-SENTENCE, INSIDE = 1.0, 16.0
-STRIDE = 64
+SENTENCE, INSIDE = 1.0, 6.0
+STRIDE = 16
 STRETCH = 1 << 18
 #: Distinct space-separated chunks whose ids a task remembers; then it starts anew.
 REMEMBERED = 200_000
