@@ -17,6 +17,7 @@ looked at.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import deque
@@ -32,76 +33,117 @@ from tokenizers import Tokenizer
 WINDOW = 2048
 END = 1
 SENTENCE, INSIDE = 1.0, 6.0
-STRIDE = 16
+STRIDE = 32
 STRETCH = 1 << 18
 #: Distinct space-separated chunks whose ids a task remembers; then it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 700_000
+#: A special token of the vocabulary that is put between chunks encoded together.
+BETWEEN = "<|startoftext|>"
+#: Marks that may close a chunk; none of them is part of a special token.
+CLOSING = ".,!?;:%&$#*)"
 #: Tokens that end a sentence, by their text in the vocabulary.
 STOPS = [".</w>", "!</w>", "?</w>", "...</w>"]
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Codes(dict):
+    """A number for each chunk; new ones are noted in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = code = len(self)
+        self.new.append(chunk)
+        return code
+
+
 class Encoder:
     """Ids of whole texts. No token reaches over a space or a line break, so chunks between them are encoded once each."""
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given the task its core
         self.tokenizer = Tokenizer.from_str(spec)
-        self.stops = np.array([i for i in (self.tokenizer.token_to_id(t) for t in STOPS) if i is not None], np.int64)
+        self.between = self.tokenizer.token_to_id(BETWEEN)
+        stops = [i for i in (self.tokenizer.token_to_id(t) for t in STOPS) if i is not None]
+        self.stops = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.stops[stops] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.lengths = np.zeros(1024, np.int64)
-        self.starts = np.zeros(1024, np.int64)
-        self.pool = np.zeros(1 << 14, np.uint32)
-        self.used = 0
-
-    def _learn(self, chunks: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        first = len(self.known)
-        while first + len(chunks) > len(self.lengths):
-            self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts))
-        for k, (chunk, e) in enumerate(zip(chunks, found), first):
-            ids = e.ids
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used:self.used + len(ids)] = ids
-            self.known[chunk], self.starts[k], self.lengths[k] = k, self.used, len(ids)
-            self.used += len(ids)
+        self.codes = Codes()
+        self.lengths, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 14, np.uint32), 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self) -> None:
+        """Ids of the new chunks. A chunk that is letters or digits before closing marks is put together from these two, as
+        no token spans both; the others are encoded together, with a special token between them, or alone if they hold that."""
+        chunks, self.codes.new = self.codes.new, []
+        first = len(self.codes) - len(chunks)
+        plain, codes, joint = [], [], []
+        for code, chunk in enumerate(chunks, first):
+            core = chunk.rstrip(CLOSING)
+            if core and len(core) < len(chunk) and core[-1].isalnum():
+                joint.append((code, self.codes[core], self.codes[chunk[len(core):]]))
+            else:
+                plain.append(chunk)
+                codes.append(code)
+        codes += range(first + len(chunks), len(self.codes))
+        plain += self.codes.new
+        self.codes.new = []
+        if self.between is None or any(BETWEEN in c for c in plain):
+            parts = [self._ids(c) for c in plain]
+            ids, lengths = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        else:
+            ids = self._ids(BETWEEN.join(plain))
+            at = np.flatnonzero(ids == self.between)
+            lengths = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+            ids = np.delete(ids, at)
+        while len(self.codes) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros(max(len(x), 1024), np.int64)]) for x in (self.starts, self.lengths))
+        self._keep(np.array(codes, np.int64), ids, lengths)
+        if joint:
+            code, *two = np.array(joint, np.int64).T
+            self._keep(code, self._flat(np.stack(two, 1).ravel()), self.lengths[two[0]] + self.lengths[two[1]])
+
+    def _keep(self, codes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.starts[codes], self.lengths[codes] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.used += len(ids)
+
+    def _flat(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of chunks one after the other."""
+        n, begin = self.lengths[codes], self.starts[codes]
+        to = np.cumsum(n)
+        return self.pool[np.arange(to[-1]) + np.repeat(begin - (to - n), n)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and the end token."""
-        if len(self.known) > REMEMBERED:
+        if len(self.codes) > REMEMBERED:
             self._clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {c for chunks in split for c in chunks if c not in self.known}
-        if new:
-            self._learn(sorted(new))
-        out = []
-        for chunks in split:
-            code = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-            n, begin = self.lengths[code], self.starts[code]
-            to = np.cumsum(n)
-            at = np.arange(to[-1]) + np.repeat(begin - (to - n), n)
-            ids = np.empty(to[-1] + 1, np.uint32)
-            ids[:-1] = self.pool[at]
-            ids[-1] = END
-            out.append(ids)
-        return out
+        coded = [np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks)) for chunks in split]
+        if self.codes.new:
+            self._learn()
+        return [np.append(self._flat(code), np.uint32(END)) for code in coded]
 
 
 def cut_points(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places after which the stream may be cut, from 1 on, and what a cut there costs."""
-    at = np.union1d(np.flatnonzero(np.isin(ids, stops)) + 1, ends)
-    gaps = np.diff(np.concatenate([[0], at, [len(ids)]]))
-    long = np.flatnonzero(gaps > STRIDE)
-    if len(long):
-        edge = np.concatenate([[0], at])
-        at = np.union1d(at, np.concatenate([np.arange(edge[k] + STRIDE, edge[k] + gaps[k], STRIDE) for k in long]))
-    cost = np.full(len(at), INSIDE)
-    cost[np.isin(at, np.flatnonzero(np.isin(ids, stops)) + 1)] = SENTENCE
-    cost[np.isin(at, ends)] = 0
-    return at.astype(np.int64), cost
+    """Places after which the stream may be cut, from 1 on, and what a cut there costs. ``stops`` says which ids end a sentence."""
+    kind = np.zeros(len(ids) + 1, np.int8)
+    kind[1:][stops[ids]] = 2
+    kind[ends] = 3
+    edge = np.concatenate([[0], np.flatnonzero(kind)])
+    more = (np.diff(edge) - 1) // STRIDE
+    kind[np.repeat(edge[:-1], more) + STRIDE * (1 + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))] = 1
+    at = np.flatnonzero(kind)
+    return at, np.array([0.0, INSIDE, SENTENCE, 0.0])[kind[at]]
 
 
 def plan(at: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:
