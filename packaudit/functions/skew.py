@@ -3,7 +3,7 @@
 ``first_by``        first row per key by an aggregate, combined before the shuffle
 ``ranked``          row number per key without sorting a whole key in one task
 ``in_blocks``       windows over neighbours, cut into blocks with a halo
-``percentiles``     exact interpolated percentiles, hot groups by distributed selection
+``percentiles``     exact interpolated percentiles over counted values
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from packaudit.session import stage
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The row of each key that sorts first. ``order`` must be unique within a key.
@@ -25,9 +27,9 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def last_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row of each key with the largest ``order``, combined map-side like ``first_by``."""
+    """The row of each key with the largest ``order``; among equals, the one whose hash is largest."""
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*rest))).alias("_row"))
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
@@ -73,24 +75,21 @@ def _interpolated(k_lo: str, k_hi: str, frac: str) -> Column:
 
 
 def selected_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact interpolated percentiles for few, large groups.
+    """Exact interpolated percentiles for few, large groups of any number of different values.
 
-    Equal values are counted before the shuffle. A sketch proposes cut points, exact
-    counts between cut points locate the wanted ranks, and only the cells that hold
-    them are sorted. The sketch shapes the work, never the answer.
+    The input is evaluated once, into a staged table of counted values. A sketch over these proposes cut points, exact
+    counts between cut points locate the wanted ranks, and only the cells that hold them are sorted. The sketch shapes the
+    work, never the answer.
     """
-    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs.values()
-                   for d in (0, 1e-4, -1e-4, 4e-4, -4e-4, 2e-3, -2e-3, 1e-2, -1e-2)}
-                  | {i / 32 for i in range(33)})
+    grid = [i / 128 for i in range(129)]
     anchor = keys or ["_all"]
     src = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
     if not keys:
         src = src.withColumn("_all", F.lit(1))
-    hist = src.groupBy(*anchor, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cuts = src.groupBy(*anchor).agg(
-        F.percentile_approx("_v", [float(g) for g in grid], 20000).alias("_cuts"),
-        F.count(F.lit(1)).alias("_n"))
-    celled = hist.join(cuts, anchor).withColumn(
+    hist = stage(src.groupBy(*anchor, "_v").agg(F.count(F.lit(1)).alias("_c")), "histogram")
+    cuts = hist.groupBy(*anchor).agg(F.percentile_approx("_v", grid, 20000).alias("_cuts"), F.sum("_c").alias("_n"))
+    # One row of about a hundred numbers per group, and few groups by definition.
+    celled = hist.join(F.broadcast(cuts), anchor).withColumn(
         "_cell", F.size(F.filter("_cuts", lambda s: s < F.col("_v"))))
     cells = celled.groupBy(*anchor, "_cell").agg(F.sum("_c").alias("_cc"), F.first("_n").alias("_n"))
     upto = F.sum("_cc").over(W.partitionBy(*anchor).orderBy("_cell"))
@@ -116,18 +115,12 @@ def selected_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict
     return out if keys else out.drop("_all")
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                hot_rows: int = 2_000_000) -> DataFrame:
-    """Exact interpolated percentiles for many groups, any of which may be huge.
+def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact interpolated percentiles of many groups.
 
-    Ordinary groups use the built-in aggregate. Groups with more than ``hot_rows`` rows
-    would build one large map in one task, so they go through the selection above. With
-    no hot group the adaptive planner drops that side.
+    Equal values are counted first, combined before the shuffle, so a group costs as much as it has different values,
+    not rows; the input is evaluated once.
     """
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > hot_rows).select(*keys)
-    light = (df.join(hot, keys, "left_anti").where(F.col(value).isNotNull()).groupBy(*keys)
-             .agg(F.percentile(value, [float(p) for p in probs.values()]).alias("_p"))
-             .select(*keys, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(probs)]))
-    heavy = selected_percentiles(df.join(hot, keys, "left_semi"), keys, value, probs)
-    return light.unionByName(heavy)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return (counted.groupBy(*keys).agg(F.percentile(value, [float(p) for p in probs.values()], F.col("_n")).alias("_p"))
+            .select(*keys, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(probs)]))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from packaudit import dims
@@ -44,23 +43,18 @@ def local_resolution(points: DataFrame, captures: DataFrame) -> DataFrame:
     return points.join(cal, "scan_id").select(*points.columns, px.alias("src_ppmm"))
 
 
-def legibility(scans: DataFrame, words: DataFrame, captures: DataFrame | None, model: DataFrame,
-               order: list[str] | None = None) -> DataFrame:
+def legibility(scans: DataFrame, words: DataFrame, captures: DataFrame | None, model: DataFrame) -> DataFrame:
     """Can this frame support the claim that a declaration is absent? (Q2)
 
-    The resolution sample is the first 400 words; the rank filter is applied before the
-    shuffle as well, so a hot scan ships at most 400 words per task.
+    The resolution is the median over all words of the scan.
     """
     stats = words.groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("n_words"), F.avg("conf").alias("mean_conf"),
         F.percentile("h", 0.5).alias("median_word_px"))
     out = scans.select("scan_id").join(stats, "scan_id", "left")
     if captures is not None:
-        ranked = W.partitionBy("scan_id").orderBy(*[F.col(c) for c in (order or ["line_no", "word_no"])])
-        sample = (words.withColumn("_rn", F.row_number().over(ranked))
-                  .where(F.col("_rn") <= dims.LEGIBILITY_SAMPLE).select("scan_id", "x", "y", "w", "h"))
         usable = captures.where("metric_ok")
-        res = (local_resolution(sample, usable).where(F.col("src_ppmm") > 0)
+        res = (local_resolution(words.select("scan_id", "x", "y", "w", "h"), usable).where(F.col("src_ppmm") > 0)
                .groupBy("scan_id").agg(F.percentile("src_ppmm", 0.5).alias("label_ppmm")))
         out = out.join(res, "scan_id", "left")
     else:

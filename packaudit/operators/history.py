@@ -9,14 +9,13 @@ from packaudit.functions import skew
 
 LIST_COLS = ["scan_id", "ts", "overall", "n_violations", "n_borderline", "net_quantity", "mrp", "manufacturer",
              "officer"]
-MAX_PAGE = 500
 
 
 def declared(declarations: Column, field: str) -> Column:
-    """Value text, else raw text, of one declaration, first 180 characters (H1)."""
+    """Value text, else raw text, of one declaration (H1)."""
     d = F.get(F.filter(declarations, lambda x: x["field"] == field), F.lit(0))
     text = F.coalesce(F.nullif(d["value_text"], F.lit("")), d["raw_text"], F.lit(""))
-    return F.when(d.isNotNull(), F.left(text, F.lit(180)))
+    return F.when(d.isNotNull(), text)
 
 
 def history_rows(reports: DataFrame, batch_seq: int | Column = 0) -> DataFrame:
@@ -57,7 +56,7 @@ def list_scans(history: DataFrame, limit: int = 50, offset: int = 0, overall: st
         for c in ("manufacturer", "mrp", "net_quantity", "scan_id"):
             hit = hit | F.coalesce(F.col(c).ilike(pattern), F.lit(False))
         df = df.where(hit)
-    return df.select(*LIST_COLS).orderBy(F.desc("ts"), "scan_id").offset(offset).limit(min(limit, MAX_PAGE))
+    return df.select(*LIST_COLS).orderBy(F.desc("ts"), "scan_id").offset(offset).limit(limit)
 
 
 def verdict_counts(history: DataFrame) -> DataFrame:
@@ -66,9 +65,11 @@ def verdict_counts(history: DataFrame) -> DataFrame:
         F.when(F.col("_g") == 1, "TOTAL").otherwise(F.col("overall")).alias("overall"), "n")
 
 
-def top_violated(history: DataFrame, newest: int = 500, k: int = 10) -> DataFrame:
-    """Most violated declarations among the newest non-compliant scans (H5)."""
-    recent = (history.where(F.col("overall") == "NON_COMPLIANT").orderBy(F.desc("ts"), "scan_id").limit(newest))
+def top_violated(history: DataFrame, newest: int | None, k: int = 10) -> DataFrame:
+    """Most violated declarations among the ``newest`` non-compliant scans, or among all of them if that is None (H5)."""
+    recent = history.where(F.col("overall") == "NON_COMPLIANT")
+    if newest is not None:
+        recent = recent.orderBy(F.desc("ts"), "scan_id").limit(newest)
     parts = recent.select(F.explode("violations").alias("v")).select(
         F.split_part("v", F.lit(":"), F.lit(1)).alias("field"))
     return parts.groupBy("field").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "field").limit(k)

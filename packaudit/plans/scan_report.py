@@ -110,7 +110,7 @@ def assemble(captures: DataFrame, judged: DataFrame, gate_rows: DataFrame) -> Da
         F.col("n_glyphs").alias("n_numerals_measured"), F.col("expected_digits"), "glyph_count_matches_ocr")
     decl = F.struct("ord", F.struct(
         "field", "requirement", "presence_verdict", "present", "assessable", "value_text",
-        F.left("raw_text", F.lit(400)).alias("raw_text"), tx.round_to("match_confidence", 2).alias("match_confidence"),
+        "raw_text", tx.round_to("match_confidence", 2).alias("match_confidence"),
         "notes", F.when(F.col("has_height"), height).alias("height")).alias("d"))
     nested = judged.groupBy("scan_id").agg(F.sort_array(F.collect_list(decl)).alias("_d")).select(
         "scan_id", F.transform("_d", lambda v: v["d"]).cast(

@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_SHIPPED: weakref.WeakSet = weakref.WeakSet()
 
 
 def local_session(cpus: int = 8, app: str = "packaudit") -> SparkSession:
@@ -29,9 +31,11 @@ def local_session(cpus: int = 8, app: str = "packaudit") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's, or a new local one when unset."""
+    """Folder every executor can reach: the cluster's, or a new local one when unset and the session is local."""
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(CHECKPOINT_CONF, base)
     return base
@@ -55,7 +59,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def ship_package(spark: SparkSession) -> None:
     """Give executors on other machines the package that the Python steps import."""
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local") or spark.sparkContext in _SHIPPED:
         return
     import packaudit
     root = os.path.dirname(os.path.dirname(os.path.abspath(packaudit.__file__)))
@@ -67,3 +71,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(folder, f)
                     z.write(full, os.path.relpath(full, root))
     spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(spark.sparkContext)

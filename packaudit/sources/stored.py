@@ -50,7 +50,9 @@ def load_band_model(spark: SparkSession, path: str) -> DataFrame:
     """One-row model from JSON; all defaults when there is no file."""
     try:
         stored = spark.read.schema(schemas.BAND_MODEL).json(path, multiLine=True)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return dims.band_model(spark, {})
     return with_model_defaults(stored)
 

@@ -16,13 +16,13 @@ from packaudit.functions import skew
 LOG_COL = "log_batch"
 
 
-def stream_history(rows: DataFrame, path: str, checkpoint: str, order: str | None = None) -> DataStreamWriter:
+def stream_history(rows: DataFrame, path: str, checkpoint: str, order: str) -> DataStreamWriter:
     """Writer that logs history rows batch by batch.
 
-    Within a batch the last row per scan wins, by ``order`` when the batch carries one.
+    Within a batch the row with the largest ``order`` wins for each scan.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest = skew.last_by(batch, ["scan_id"], order) if order else batch.dropDuplicates(["scan_id"])
+        latest = skew.last_by(batch, ["scan_id"], order)
         (latest.withColumn("batch_seq", F.lit(batch_id).cast("bigint"))
          .write.mode("overwrite").parquet(f"{path}/{LOG_COL}={batch_id}"))
 

@@ -1,5 +1,6 @@
 """Files in and out, inbox streams, model and history tables."""
 
+import pytest
 import json
 import os
 
@@ -115,3 +116,23 @@ def test_history_log_replays_and_compacts(spark, tmp_path):
     assert state == {"a": "NON_COMPLIANT", "b": "REVIEW_REQUIRED"}
     sh.compact_history(spark, log, str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 2
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from packaudit import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())

@@ -94,7 +94,7 @@ def test_percentiles_hot_and_light(spark):
     rows += [(f"k{i % 40}", rng.random()) for i in range(400)]
     df = spark.createDataFrame(rows, "key string, v double")
     probs = {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
-    out = {r.key: r for r in skew.percentiles(df, ["key"], "v", probs, hot_rows=1000).collect()}
+    out = {r.key: r for r in skew.percentiles(df, ["key"], "v", probs).collect()}
     assert len(out) == 41
     for key in ("hot", "k0", "k39"):
         vals = [v for k, v in rows if k == key]

@@ -281,8 +281,7 @@ _LOCAL = """coalesce(sqrt(abs(((s*(mx+0.5)/(p*(mx+0.5)+1)-s*mx/(p*mx+1))*(s*(my+
   -(s*my/(p*(mx+0.5)+1)-s*my/(p*mx+1))*(s*mx/(p*mx+1)-s*mx/(p*mx+1)))/0.25)),0)"""
 
 
-@query("q2_legibility", with_("words", f""", smp AS (SELECT *, (doc_id%7+3)::DOUBLE AS s, (doc_id%3)::DOUBLE*1e-4::DOUBLE AS p FROM words
-  QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY line_no, pos)<=400),
+@query("q2_legibility", with_("words", f""", smp AS (SELECT *, (doc_id%7+3)::DOUBLE AS s, (doc_id%3)::DOUBLE*1e-4::DOUBLE AS p FROM words),
 loc AS (SELECT scan_id, {_LOCAL} AS l FROM (SELECT *, (x+w/2.0::DOUBLE)/s AS mx, (y+h/2.0::DOUBLE)/s AS my FROM smp WHERE doc_id%10<>0)),
 lab AS (SELECT scan_id, quantile_cont(l,0.5) AS label_ppmm FROM loc WHERE l>0 GROUP BY scan_id),
 st AS (SELECT scan_id, count(*) AS n_words, avg(conf) AS mc, quantile_cont(h::DOUBLE,0.5) AS mh FROM words GROUP BY scan_id),
@@ -293,8 +292,7 @@ r AS (SELECT doc_id::VARCHAR AS scan_id, coalesce(n_words,0) AS n_words, coalesc
 SELECT scan_id, n_words, {r6('mc')} AS mean_conf, mh AS median_word_px, {r6('label_ppmm')} AS label_ppmm,
   (a+b+c+d)::BIGINT AS n_reasons, a+b+c+d=0 AS legible FROM r""").replace("\n, smp AS", ",\n smp AS"))
 def q2(spark, sf):
-    out = gates.legibility(v.doc_scans(spark, sf), v.words(spark, sf), _doc_captures(spark, sf), dims.band_model(spark),
-                           ["line_no", "pos"])
+    out = gates.legibility(v.doc_scans(spark, sf), v.words(spark, sf), _doc_captures(spark, sf), dims.band_model(spark))
     return v.flat(out.withColumn("n_reasons", F.size("reasons").cast("bigint")).drop("reasons"))
 
 
@@ -595,7 +593,13 @@ def h4(spark, sf):
 SELECT field, count(*) AS n FROM hviol WHERE scan_id IN (SELECT scan_id FROM r) GROUP BY field ORDER BY n DESC, field LIMIT 10""")
        .replace("\n, r AS", ",\n r AS"))
 def h5(spark, sf):
-    return hs.top_violated(v.history(spark, sf))
+    return hs.top_violated(v.history(spark, sf), 500)
+
+
+@query("h5_top_violated_all", with_("hist hviol", """SELECT field, count(*) AS n FROM hviol
+  WHERE scan_id IN (SELECT scan_id FROM hist WHERE overall='NON_COMPLIANT') GROUP BY field ORDER BY n DESC, field LIMIT 10"""))
+def h5_all(spark, sf):
+    return hs.top_violated(v.history(spark, sf), None)
 
 
 @query("s6_upsert_history", with_("hist", """SELECT scan_id, CASE WHEN k%10=0 THEN 'COMPLIANT' ELSE overall END AS overall,

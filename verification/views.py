@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,16 +11,13 @@ from packaudit.functions import rules as ru, skew
 from packaudit.operators import adjudication, evaluation, rules
 
 
+SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table. A single local file is one row group, hence one task: spread it.
-
-    Tables of many files arrive spread already and are left alone.
-    """
-    path = f"{sf}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name in ("lineitem", "orders", "documents", "embeddings") and os.path.isfile(path):
-        df = df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    """A given table, the large ones dealt out by their key, which joins on that key use again."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return df.repartition(SPREAD[name]) if name in SPREAD else df
 
 
 def r6(c: Column | str) -> Column:
