@@ -261,14 +261,13 @@ def overall_confusion(records: DataFrame, gt_required: Column | None = None) ->
 
 
 def gate_stats(records: DataFrame) -> DataFrame:
-    """Cases, failures and reasons for missing heights (E10). Long: key, n."""
+    """Cases, failures and reasons for missing heights by ``reason_code`` (E10). Long: key, n."""
     cases = case_rows(records).select(F.explode(F.array_compact(F.array(
         F.when(F.col("error").isNotNull(), "exception"), F.when(F.col("error").isNull(), "total"),
         F.when(F.col("error").isNull() & F.col("calib_ok"), "calibrated")))).alias("key"))
-    reason = F.coalesce(F.nullif("reason", F.lit("")), F.lit("no height returned"))
-    why = (F.when(reason.contains("px/mm"), "abstain_INSUFFICIENT_RESOLUTION")
-           .when(reason.contains("physical scale"), "abstain_NO_SCALE")
-           .when(reason.contains("numeral"), "abstain_NO_GLYPHS").otherwise("abstain_OTHER"))
+    code = F.col("reason_code")
+    why = (F.when(code == "resolution", "abstain_INSUFFICIENT_RESOLUTION").when(code == "scale", "abstain_NO_SCALE")
+           .when(code.isin("measurement", "box", "count", "informational"), "abstain_NO_GLYPHS").otherwise("abstain_OTHER"))
     missing = valid(records).where(
         F.col("field").isin(*dims.JUDGED_FIELDS) & F.col("measured_mm").isNull()
         & F.coalesce("present_gt", F.lit(True)) & F.col("gt_mm").isNotNull()).select(why.alias("key"))

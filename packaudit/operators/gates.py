@@ -43,6 +43,15 @@ def local_resolution(points: DataFrame, captures: DataFrame) -> DataFrame:
     return points.join(cal, "scan_id").select(*points.columns, px.alias("src_ppmm"))
 
 
+#: Why a frame is not legible, by code.
+ILLEGIBLE = {
+    "no_text": "no text was recognised",
+    "too_blurry": "mean OCR confidence too low",
+    "text_too_small": "median recognised text too small",
+    "too_far": "label px/mm, below floor",
+}
+
+
 def legibility(scans: DataFrame, words: DataFrame, captures: DataFrame | None, model: DataFrame) -> DataFrame:
     """Can this frame support the claim that a declaration is absent? (Q2)
 
@@ -61,17 +70,16 @@ def legibility(scans: DataFrame, words: DataFrame, captures: DataFrame | None, m
         out = out.withColumn("label_ppmm", F.lit(None).cast("double"))
     out = out.crossJoin(F.broadcast(model.select("min_px_per_mm")))
     mean = F.coalesce(F.col("mean_conf"), F.lit(0.0))
-    reasons = F.array_compact(F.array(
-        F.when(F.col("n_words").isNull(), "no text was recognised"),
-        F.when(mean < dims.MIN_OCR_CONF, "mean OCR confidence too low"),
-        F.when((F.col("median_word_px") > 0) & (F.col("median_word_px") < dims.MIN_WORD_PX),
-               "median recognised text too small"),
-        F.when((F.col("label_ppmm") > 0) & (F.col("label_ppmm") < F.col("min_px_per_mm")),
-               "label px/mm, below floor")))
+    codes = F.array_compact(F.array(
+        F.when(F.col("n_words").isNull(), "no_text"),
+        F.when(mean < dims.MIN_OCR_CONF, "too_blurry"),
+        F.when((F.col("median_word_px") > 0) & (F.col("median_word_px") < dims.MIN_WORD_PX), "text_too_small"),
+        F.when((F.col("label_ppmm") > 0) & (F.col("label_ppmm") < F.col("min_px_per_mm")), "too_far")))
+    texts = dims.literal_map(ILLEGIBLE)
     return out.select(
         "scan_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), mean.alias("mean_conf"),
-        F.coalesce("median_word_px", F.lit(0.0)).alias("median_word_px"), "label_ppmm", reasons.alias("reasons"),
-        (F.size(reasons) == 0).alias("legible"))
+        F.coalesce("median_word_px", F.lit(0.0)).alias("median_word_px"), "label_ppmm", codes.alias("reason_codes"),
+        F.transform(codes, lambda c: F.try_element_at(texts, c)).alias("reasons"), (F.size(codes) == 0).alias("legible"))
 
 
 def baseline_slopes(words: DataFrame) -> DataFrame:

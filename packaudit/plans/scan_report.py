@@ -105,7 +105,7 @@ def assemble(captures: DataFrame, judged: DataFrame, gate_rows: DataFrame) -> Da
     height = F.struct(
         "informational", "required_mm", "advisory_required_mm", "measured_mm", "median_width_mm", "error_band_mm",
         F.col("src_ppmm").alias("source_px_per_mm"), "width_to_height_ratio", "band_inflation",
-        F.col("rule_table").alias("rule"), "rule_row", "verdict", "advisory_verdict", "width_verdict", "reason",
+        F.col("rule_table").alias("rule"), "rule_row", "verdict", "advisory_verdict", "width_verdict", "reason", "reason_code",
         F.when(F.col("reason_code") == "scale", F.col("scale_gate")).alias("scale_gate"),
         F.col("n_glyphs").alias("n_numerals_measured"), F.col("expected_digits"), "glyph_count_matches_ocr")
     decl = F.struct("ord", F.struct(

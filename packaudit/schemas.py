@@ -29,7 +29,7 @@ HEIGHT = (
     "struct<informational:boolean,required_mm:double,advisory_required_mm:double,measured_mm:double,"
     "median_width_mm:double,error_band_mm:double,source_px_per_mm:double,width_to_height_ratio:double,"
     "band_inflation:double,rule:string,rule_row:string,verdict:string,advisory_verdict:string,"
-    "width_verdict:string,reason:string,scale_gate:string,n_numerals_measured:bigint,"
+    "width_verdict:string,reason:string,reason_code:string,scale_gate:string,n_numerals_measured:bigint,"
     "expected_digits:int,glyph_count_matches_ocr:boolean>")
 DECLARATION = (
     "struct<field:string,requirement:string,presence_verdict:string,present:boolean,assessable:boolean,"
@@ -42,7 +42,7 @@ HISTORY = ("scan_id string, ts timestamp, overall string, n_violations int, n_bo
            "report_json string, batch_seq bigint")
 # One evaluation record as stored: fields is a map keyed by declaration.
 EVAL_FIELD = ("struct<present_pred:boolean,present_gt:boolean,assessable:boolean,value_correct:boolean,"
-              "presence_verdict:string,verdict:string,value_text:string,reason:string,measured_mm:double,"
+              "presence_verdict:string,verdict:string,value_text:string,reason:string,reason_code:string,measured_mm:double,"
               "required_mm:double,gt_mm:double,src_ppmm:double,n_glyphs:int>")
 EVAL_RECORD_JSON = (f"case_id bigint, tier string, overall string, legible boolean, calib_ok boolean, "
                     f"tilt_deg double, planarity_slope double, planarity_spread double, elapsed_ms double, "

@@ -293,7 +293,7 @@ SELECT scan_id, n_words, {r6('mc')} AS mean_conf, mh AS median_word_px, {r6('lab
   (a+b+c+d)::BIGINT AS n_reasons, a+b+c+d=0 AS legible FROM r""").replace("\n, smp AS", ",\n smp AS"))
 def q2(spark, sf):
     out = gates.legibility(v.doc_scans(spark, sf), v.words(spark, sf), _doc_captures(spark, sf), dims.band_model(spark))
-    return v.flat(out.withColumn("n_reasons", F.size("reasons").cast("bigint")).drop("reasons"))
+    return v.flat(out.withColumn("n_reasons", F.size("reasons").cast("bigint")).drop("reasons", "reason_codes"))
 
 
 _SLOPES = """, ln AS (SELECT scan_id, line_no, degrees(atan(regr_slope(y+h/2.0::DOUBLE, x+w/2.0::DOUBLE))) AS sl FROM words

@@ -372,34 +372,38 @@ def x3(spark, sf):
   WHEN 'confidence' THEN 'uncertain_field' WHEN 'informational' THEN 'lettering' WHEN 'box' THEN 'unboxed' WHEN 'lookup' THEN 'unreliable'
   WHEN 'measurement' THEN 'unreliable' ELSE 'unmeasured' END AS class, count(*) AS n FROM judged GROUP BY 1"""))
 def x4(spark, sf):
-    return v.judged(spark, sf).groupBy(pr.reason_class(F.col("reason")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return v.judged(spark, sf).groupBy(pr.reason_class(F.col("reason_code"), F.col("scale_gate")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("x4_legibility_phrase", with_("words", """SELECT doc_id::VARCHAR AS scan_id, CASE WHEN n IS NULL THEN 'no_text' WHEN mc<60 THEN 'too_blurry' ELSE 'not_clear' END AS phrase
   FROM documents LEFT JOIN (SELECT scan_id, count(*) AS n, avg(conf) AS mc FROM words GROUP BY scan_id) ON scan_id=doc_id::VARCHAR"""))
 def x4l(spark, sf):
     leg = gates.legibility(v.doc_scans(spark, sf), v.words(spark, sf), None, _model(spark))
-    return leg.select("scan_id", pr.legibility_phrase(F.col("reasons")).alias("phrase"))
+    return leg.select("scan_id", pr.legibility_phrase(F.col("reason_codes")).alias("phrase"))
 
 
 @query("x5_todo_items", with_("decl", f"""SELECT scan_id, -1 AS ord, seq AS part, text FROM ({_TIP_SQL}) UNION ALL
 SELECT scan_id, ord, 0, 'missing: '||CASE field WHEN 'net_quantity' THEN 'Net quantity' WHEN 'mrp' THEN 'Retail sale price (MRP) inclusive of all taxes'
   ELSE 'Month and year of manufacture / pre-packing / import' END FROM decl WHERE presence_verdict='FAIL' UNION ALL
-SELECT scan_id, ord, 1, CASE verdict WHEN 'FAIL' THEN 'too small: ' ELSE 'too close to call: ' END||field||' is ' FROM decl WHERE verdict IN ('FAIL','BORDERLINE')"""))
+SELECT scan_id, ord, 1, CASE verdict WHEN 'FAIL' THEN 'too small: ' ELSE 'too close to call: ' END||field||' is '||printf('%.2f mm against a minimum of %.1f mm', measured_mm, required_mm) FROM decl WHERE verdict IN ('FAIL','BORDERLINE')"""))
 def x5(spark, sf):
     req = dims.literal_map(dict(dims.DECLARATIONS))
     d = v.declarations(spark, sf).withColumn("requirement", F.try_element_at(req, F.col("field")))
-    todo = pr.todo_items(d, _gates(spark, sf), dims.gate_advice(spark))
-    # The millimetres at the end of a size line are formatted text; the check stops before them.
-    return todo.withColumn("text", F.when(F.col("part") == 1, F.when(F.col("ord") >= 0, F.regexp_replace(
-        "text", r" is .*$", " is ")).otherwise(F.col("text"))).otherwise(F.col("text")))
+    return pr.todo_items(d, _gates(spark, sf), dims.gate_advice(spark))
 
 
 @query("x6_size_rows", with_("decl", """SELECT scan_id, field, CASE WHEN NOT has_height OR (informational AND measured_mm IS NULL) THEN '-' WHEN informational THEN 'i'
   WHEN verdict='PASS' THEN 'OK' WHEN verdict='FAIL' THEN 'NO' WHEN verdict='BORDERLINE' THEN '~' ELSE '?' END AS mark,
-  CASE WHEN required_mm IS NULL THEN '-' ELSE printf('%.1f mm', required_mm) END AS minimum FROM decl"""))
+  CASE WHEN measured_mm IS NULL THEN '-' ELSE printf('%.2f mm', measured_mm) END AS printed,
+  CASE WHEN required_mm IS NULL THEN '-' ELSE printf('%.1f mm', required_mm) END AS minimum,
+  CASE WHEN NOT has_height THEN 'not found' WHEN informational AND measured_mm IS NOT NULL THEN 'lettering'
+    WHEN NOT informational AND verdict='PASS' AND advisory_verdict IN ('FAIL','BORDERLINE') THEN 'stricter reading fails'
+    WHEN NOT informational AND verdict='PASS' THEN '' WHEN verdict='FAIL' THEN 'too small' WHEN verdict='BORDERLINE' THEN 'too close to call'
+    WHEN reason_code='resolution' THEN 'too_far' WHEN reason_code='scale' THEN 'card_angled' WHEN reason_code='count' THEN 'digits_merged'
+    WHEN reason_code='confidence' THEN 'uncertain_field' WHEN reason_code='informational' THEN 'lettering' WHEN reason_code='box' THEN 'unboxed'
+    WHEN reason_code IS NULL THEN 'unmeasured' ELSE 'unreliable' END AS note FROM decl"""))
 def x6s(spark, sf):
-    return pr.size_rows(v.declarations(spark, sf)).select("scan_id", "field", "mark", "minimum")
+    return pr.size_rows(v.declarations(spark, sf)).drop("ord")
 
 
 # ------------------------------------------------------------------------- sources
@@ -428,7 +432,7 @@ def _case_json(spark, sf) -> DataFrame:
     """Records nested per case as JSON, the way they are stored."""
     r = v.records(spark, sf).withColumn("n_glyphs", F.col("n_glyphs").cast("int"))
     body = F.struct("present_pred", "present_gt", "assessable", "value_correct", "presence_verdict", "verdict", "value_text",
-                    "reason", "measured_mm", "required_mm", "gt_mm", "src_ppmm", "n_glyphs")
+                    "reason", "reason_code", "measured_mm", "required_mm", "gt_mm", "src_ppmm", "n_glyphs")
     return r.groupBy("case_id", *ev.CASE_COLS).agg(
         F.map_from_entries(F.collect_list(F.struct("field", body))).alias("fields")).select(
         F.to_json(F.struct("case_id", *ev.CASE_COLS, "fields")).alias("value"))

@@ -365,7 +365,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.array().cast("array<string>")).alias("omitted"),
         "field", F.col("measured_mm").isNotNull().alias("present_pred"), (F.col("gt_mm") > 0.5).alias("present_gt"),
         F.col("assessable"), F.when(F.col("l_linenumber") != 3, F.col("l_tax") < 0.06).alias("value_correct"),
-        "presence_verdict", "verdict", "value_text", "reason", "measured_mm", "required_mm", "gt_mm", "src_ppmm",
+        "presence_verdict", "verdict", "value_text", "reason", "reason_code", "measured_mm", "required_mm", "gt_mm", "src_ppmm",
         F.col("n_glyphs").cast("int").alias("n_glyphs"))
 
 
