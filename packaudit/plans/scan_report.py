@@ -42,8 +42,27 @@ def measure_fields(glyph_rows: DataFrame, chars: DataFrame, rois: DataFrame, sca
                       F.when(ok, F.col("n_glyphs")).alias("n_glyphs"))
 
 
-def build_declarations(src: Inputs, model: DataFrame, use_fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Judged declarations (six per scan) and the gate log.
+def frame_facts(cal: DataFrame, plan: DataFrame, legible: DataFrame, model: DataFrame) -> DataFrame:
+    """Calibration, planarity, legibility and uncertainty of each scan, as the structs of a report."""
+    usable = F.col("metric_ok") & (F.coalesce("severity", F.lit("ok")) != "gross")
+    method = F.when(F.col("known_px_per_mm") > 0, "known scale").when(F.col("calib_ok"), "marker")
+    band = F.coalesce("band_override_mm", F.abs("bias_mm") + F.col("k") * F.col("sigma_mm"))
+    parts = {
+        "calibration": F.struct(usable.alias("usable"), method.alias("method"), "marker_id", "px_per_mm", "tilt_deg", "taper",
+                                F.col("calib_reason").alias("reason")),
+        "planarity": F.struct("n_baselines", "median_slope_deg", "slope_spread_deg", "severity", "band_penalty_mm"),
+        "legibility": F.struct("legible", "reason_codes", "reasons", "n_words", "mean_conf", "median_word_px", "label_ppmm"),
+        "uncertainty": F.struct("bias_mm", "sigma_mm", "k", band.alias("band_mm"), "min_px_per_mm", "source")}
+    marker = F.col("marker_id") if "marker_id" in cal.columns else F.lit(None).cast("int")
+    known = cal.select("scan_id", "metric_ok", "calib_ok", "known_px_per_mm", marker.alias("marker_id"), "px_per_mm", "tilt_deg", "taper",
+                       "calib_reason")
+    fitted = model.select("bias_mm", "sigma_mm", "k", "band_override_mm", "min_px_per_mm", "source")
+    return (known.join(plan, "scan_id", "left").join(legible, "scan_id", "left").crossJoin(F.broadcast(fitted))
+            .select("scan_id", *[parts[name].cast(kind).alias(name) for name, kind in schemas.FRAME.items()]))
+
+
+def build_declarations(src: Inputs, model: DataFrame, use_fuzzy: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Judged declarations (six per scan), the gate log and the facts of each frame.
 
     Lines, hits, value boxes and verdicts each feed several later steps, so they are
     written once and read back instead of being computed again by every reader.
@@ -94,13 +113,13 @@ def build_declarations(src: Inputs, model: DataFrame, use_fuzzy: bool = True) ->
                    .withColumn("has_height", F.col("present")), "judged")
     low = gates.resolution_gate(
         judged.where(F.col("present") & (F.col("reason_code") == "resolution")), model)
-    return judged, gates.gate_log(frame_gates, low)
+    return judged, gates.gate_log(frame_gates, low), frame_facts(cal, plan, legible, model)
 
 
-def assemble(captures: DataFrame, judged: DataFrame, gate_rows: DataFrame) -> DataFrame:
-    """Nest declarations and gates into one report per scan (Q10, Q11).
+def assemble(captures: DataFrame, judged: DataFrame, gate_rows: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Nest declarations, gates and ``frame_facts`` into one report per scan (Q10, Q11).
 
-    Six declarations and at most nine gates per scan.
+    Six declarations and at most nine gates per scan. Without ``frames`` those columns are null.
     """
     height = F.struct(
         "informational", "required_mm", "advisory_required_mm", "measured_mm", "median_width_mm", "error_band_mm",
@@ -118,13 +137,15 @@ def assemble(captures: DataFrame, judged: DataFrame, gate_rows: DataFrame) -> Da
     logged = gate_rows.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct(
         "seq", "gate", "blocking_height", "field", "detail"))).alias("gates"))
     summary = adjudication.rollup(judged)
-    return (captures.select("scan_id", "ts").join(summary, "scan_id").join(nested, "scan_id")
+    if frames is None:
+        frames = captures.select("scan_id", *[F.lit(None).cast(kind).alias(name) for name, kind in schemas.FRAME.items()])
+    return (captures.select("scan_id", "ts").join(frames, "scan_id").join(summary, "scan_id").join(nested, "scan_id")
             .join(logged, "scan_id", "left")
             .select("scan_id", "ts", "overall", "violations", "borderline", "not_assessed", "declarations",
-                    F.coalesce("gates", F.array().cast(f"array<{schemas.GATE}>")).alias("gates")))
+                    F.coalesce("gates", F.array().cast(f"array<{schemas.GATE}>")).alias("gates"), *schemas.FRAME))
 
 
 def build_reports(src: Inputs, model: DataFrame, use_fuzzy: bool = True) -> DataFrame:
     """Reports for every capture (Q11)."""
-    judged, gate_rows = build_declarations(src, model, use_fuzzy)
-    return assemble(src.captures, judged, gate_rows)
+    judged, gate_rows, frames = build_declarations(src, model, use_fuzzy)
+    return assemble(src.captures, judged, gate_rows, frames)

@@ -35,8 +35,17 @@ DECLARATION = (
     "struct<field:string,requirement:string,presence_verdict:string,present:boolean,assessable:boolean,"
     f"value_text:string,raw_text:string,match_confidence:double,notes:array<string>,height:{HEIGHT}>")
 GATE = "struct<seq:int,gate:string,blocking_height:boolean,field:string,detail:string>"
+# What a report says of its frame, besides the declarations.
+FRAME = {
+    "calibration": "struct<usable:boolean,method:string,marker_id:int,px_per_mm:double,tilt_deg:double,taper:double,reason:string>",
+    "planarity": "struct<n_baselines:bigint,median_slope_deg:double,slope_spread_deg:double,severity:string,band_penalty_mm:double>",
+    "legibility": ("struct<legible:boolean,reason_codes:array<string>,reasons:array<string>,n_words:bigint,mean_conf:double,"
+                   "median_word_px:double,label_ppmm:double>"),
+    "uncertainty": "struct<bias_mm:double,sigma_mm:double,k:double,band_mm:double,min_px_per_mm:double,source:string>",
+}
 REPORT = (f"scan_id string, ts timestamp, overall string, violations array<string>, borderline array<string>, "
-          f"not_assessed array<string>, declarations array<{DECLARATION}>, gates array<{GATE}>")
+          f"not_assessed array<string>, declarations array<{DECLARATION}>, gates array<{GATE}>, "
+          + ", ".join(f"{name} {kind}" for name, kind in FRAME.items()))
 HISTORY = ("scan_id string, ts timestamp, overall string, n_violations int, n_borderline int, "
            "net_quantity string, mrp string, manufacturer string, image_path string, officer string, "
            "report_json string, batch_seq bigint")

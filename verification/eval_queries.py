@@ -385,7 +385,7 @@ def x4l(spark, sf):
 @query("x5_todo_items", with_("decl", f"""SELECT scan_id, -1 AS ord, seq AS part, text FROM ({_TIP_SQL}) UNION ALL
 SELECT scan_id, ord, 0, 'missing: '||CASE field WHEN 'net_quantity' THEN 'Net quantity' WHEN 'mrp' THEN 'Retail sale price (MRP) inclusive of all taxes'
   ELSE 'Month and year of manufacture / pre-packing / import' END FROM decl WHERE presence_verdict='FAIL' UNION ALL
-SELECT scan_id, ord, 1, CASE verdict WHEN 'FAIL' THEN 'too small: ' ELSE 'too close to call: ' END||field||' is '||printf('%.2f mm against a minimum of %.1f mm', measured_mm, required_mm) FROM decl WHERE verdict IN ('FAIL','BORDERLINE')"""))
+SELECT scan_id, ord, 1, CASE verdict WHEN 'FAIL' THEN 'too small: ' ELSE 'too close to call: ' END||field||' is '||printf('%.2f mm against a minimum of %.1f mm', round_even(measured_mm*100,0)/100, round_even(required_mm*10,0)/10) FROM decl WHERE verdict IN ('FAIL','BORDERLINE')"""))
 def x5(spark, sf):
     req = dims.literal_map(dict(dims.DECLARATIONS))
     d = v.declarations(spark, sf).withColumn("requirement", F.try_element_at(req, F.col("field")))
@@ -394,7 +394,7 @@ def x5(spark, sf):
 
 @query("x6_size_rows", with_("decl", """SELECT scan_id, field, CASE WHEN NOT has_height OR (informational AND measured_mm IS NULL) THEN '-' WHEN informational THEN 'i'
   WHEN verdict='PASS' THEN 'OK' WHEN verdict='FAIL' THEN 'NO' WHEN verdict='BORDERLINE' THEN '~' ELSE '?' END AS mark,
-  CASE WHEN measured_mm IS NULL THEN '-' ELSE printf('%.2f mm', measured_mm) END AS printed,
+  CASE WHEN measured_mm IS NULL THEN '-' ELSE printf('%.2f mm', round_even(measured_mm*100,0)/100) END AS printed,
   CASE WHEN required_mm IS NULL THEN '-' ELSE printf('%.1f mm', required_mm) END AS minimum,
   CASE WHEN NOT has_height THEN 'not found' WHEN informational AND measured_mm IS NOT NULL THEN 'lettering'
     WHEN NOT informational AND verdict='PASS' AND advisory_verdict IN ('FAIL','BORDERLINE') THEN 'stricter reading fails'

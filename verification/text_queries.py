@@ -563,7 +563,8 @@ def _reports(spark, sf) -> DataFrame:
 def q11(spark, sf):
     r = _reports(spark, sf)
     return r.select("scan_id", "overall", F.size("violations").alias("n_violations"), F.size("declarations").alias("n_declarations"),
-                    F.size("gates").alias("n_gates"))
+                    F.size("gates").alias("n_gates"), F.col("calibration.usable").alias("usable"), F.col("planarity.severity").alias("severity"),
+                    F.col("legibility.legible").alias("legible"), F.col("legibility.n_words").alias("n_words"))
 
 
 @query("h1_history_rows", with_("decl", """, t AS (SELECT DISTINCT scan_id FROM decl) SELECT t.scan_id, n.value_text AS net_quantity, m.value_text AS mrp, NULL::VARCHAR AS manufacturer
@@ -579,7 +580,8 @@ def h1(spark, sf):
     return rows.select("scan_id", "net_quantity", "mrp", "manufacturer")
 
 
-@query("x6_report_lines", with_("decl", """SELECT '2 declarations' AS section, count(*) AS n FROM decl UNION ALL SELECT '3 heights', count(*) FROM decl WHERE has_height
+@query("x6_report_lines", with_("decl", """SELECT '2 declarations' AS section, count(*) AS n FROM decl UNION ALL SELECT '3 heights', (SELECT count(*) FROM decl WHERE has_height)
+  +(SELECT count(*) FROM (SELECT scan_id FROM decl GROUP BY 1 HAVING NOT bool_or(has_height)))
   UNION ALL SELECT '1 calibration', (SELECT count(DISTINCT scan_id) FROM decl)+(SELECT count(*) FROM orders WHERE o_orderkey%5=0 AND o_orderkey::VARCHAR IN (SELECT scan_id FROM decl))
   UNION ALL SELECT '5 uncertainty', count(DISTINCT scan_id) FROM decl UNION ALL SELECT '6 scope', 4*count(DISTINCT scan_id) FROM decl"""))
 def x6(spark, sf):
