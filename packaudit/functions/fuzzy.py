@@ -8,6 +8,7 @@ keeps almost every row away from Python.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -34,6 +35,9 @@ def seed_pieces(token: str, ratio: float = dims.FUZZY_RATIO) -> list[str]:
     return [token[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+_pieces = lru_cache(maxsize=1024)(seed_pieces)
+
+
 def may_contain(norm: Column, tokens: list[str]) -> Column:
     """Built-in necessary condition for ``contains_fuzzy``."""
     tests = [(F.length(norm) >= len(t)) & norm.rlike("|".join(sorted(set(seed_pieces(t))))) for t in tokens]
@@ -44,14 +48,26 @@ def may_contain(norm: Column, tokens: list[str]) -> Column:
 
 
 def contains_fuzzy(norm: str, token: str, ratio: float = dims.FUZZY_RATIO) -> bool:
+    """Some stretch of ``norm`` as long as ``token`` has at least this sequence ratio with it.
+
+    The letters in common, kept up to date while the stretch moves, bound the ratio from above.
+    """
     n = len(token)
-    if n < 3 or len(norm) < n:
+    if n < 3 or len(norm) < n or not any(piece in norm for piece in _pieces(token, ratio)):
         return False
     matcher = SequenceMatcher(None, "", token)
-    for i in range(len(norm) - n + 1):
-        matcher.set_seq1(norm[i:i + n])
-        if matcher.real_quick_ratio() >= ratio and matcher.quick_ratio() >= ratio and matcher.ratio() >= ratio:
-            return True
+    left, common = Counter(token), 0
+    for i, c in enumerate(norm):
+        common += left[c] > 0
+        left[c] -= 1
+        if i >= n:
+            gone = norm[i - n]
+            left[gone] += 1
+            common -= left[gone] > 0
+        if i >= n - 1 and common / n >= ratio:
+            matcher.set_seq1(norm[i - n + 1:i + 1])
+            if matcher.ratio() >= ratio:
+                return True
     return False
 
 
@@ -68,8 +84,7 @@ FLAGS = T.StructType([T.StructField("fields", T.IntegerType()), T.StructField("n
 
 @lru_cache(maxsize=65536)
 def _fields_of(norm: str) -> int:
-    return sum(1 << i for i, f in enumerate(FUZZY_FIELDS)
-               if any(contains_fuzzy(norm, t) for t in dims.FUZZY_PHRASES[f]))
+    return sum(1 << i for i, f in enumerate(FUZZY_FIELDS) if any(contains_fuzzy(norm, t) for t in dims.FUZZY_PHRASES[f]))
 
 
 @F.pandas_udf(FLAGS)

@@ -83,8 +83,8 @@ def exact_key_end(norm: Column, first_len: Column, field: str) -> Column:
     """End of the first listed key that starts on the window's own line."""
     ends = []
     for phrase in dims.KEY_PHRASES[field]:
-        at = _find(norm, phrase)
-        ends.append(F.when(at < first_len, at + len(phrase)))
+        # A start on the own line is one within this prefix, so one search answers both questions.
+        ends.append(_find(F.left(norm, first_len + (len(phrase) - 1)), phrase) + len(phrase))
     return F.coalesce(*ends)
 
 
@@ -117,11 +117,13 @@ def has_tax_phrase(norm: Column) -> Column:
 
 
 # -------------------------------------------------------------------- key matching
-def match_keys(ctx: DataFrame, use_fuzzy: bool = True) -> DataFrame:
+def match_keys(ctx: DataFrame, use_fuzzy: bool = True, fields: list[str] | None = None) -> DataFrame:
     """Add ``key_<field>``: struct<conf,end> of the key on each line, null without one.
 
-    Only lines without an exact key that pass a built-in filter reach the fuzzy test.
+    Only lines without an exact key that pass a built-in filter reach the fuzzy test; with ``fields``, it looks for
+    keys of these only.
     """
+    wanted = [f for f in fuzzy.FUZZY_FIELDS if fields is None or f in fields]
     first = F.length("norm")
     ends = {f: exact_key_end(F.col("wnorm"), first, f) for f in dims.KEY_PHRASES}
     df = ctx.withColumns({f"_e_{f}": e for f, e in ends.items()})
@@ -129,10 +131,12 @@ def match_keys(ctx: DataFrame, use_fuzzy: bool = True) -> DataFrame:
     df = df.withColumn("bare_date", F.when(first_negative(F.col("norm"), "mfg_date").isNull(), date))
     if use_fuzzy:
         maybe = F.lit(False)
-        for f in fuzzy.FUZZY_FIELDS:
+        for f in wanted:
             maybe = maybe | (F.col(f"_e_{f}").isNull() & fuzzy.may_contain(F.col("norm"), dims.FUZZY_PHRASES[f]))
         head = F.when(F.col("bare_date").isNotNull() & (F.col("bare_date.pos") > 0),
                       tx.normalize_key(F.substring(F.col("text"), F.lit(1), F.col("bare_date.pos"))))
+        if "mfg_date" not in wanted:
+            head = F.lit(None).cast("string")
         df = df.withColumn("_fz", fuzzy.fuzzy_flags(F.when(maybe, F.col("norm")), head))
     else:
         df = df.withColumn("_fz", F.struct(F.lit(0).alias("fields"), F.lit(False).alias("near")))
@@ -343,7 +347,7 @@ def common_name() -> Column:
 def candidates(lines: DataFrame, use_fuzzy: bool = True, strict_compat: bool = False,
                fields: list[str] | None = None) -> DataFrame:
     """Every hit of every stage, one row per (line, stage)."""
-    keyed = match_keys(line_context(lines), use_fuzzy)
+    keyed = match_keys(line_context(lines), use_fuzzy, fields)
     stages = {
         "mrp": [mrp_keyed(keyed), mrp_currency(), mrp_slash(), mrp_legend()],
         "net_quantity": [net_quantity()],

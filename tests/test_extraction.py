@@ -111,3 +111,21 @@ def test_prefilter_never_loses_a_fuzzy_hit(spark):
     for r in df.select("norm", *checks).collect():
         for t in tokens:
             assert r[t] or not fuzzy.contains_fuzzy(r.norm, t), (r.norm, t)
+
+
+def test_fuzzy_containment_equals_the_plain_ratio():
+    import random
+    from difflib import SequenceMatcher
+    rng = random.Random(5)
+    for token in ["NETQUANTITY", "PACKEDBY", "MAXIMUMRETAILPRICE"]:
+        hits = 0
+        for _ in range(300):
+            word = list(token)
+            for _ in range(rng.randrange(5)):
+                word[rng.randrange(len(word))] = rng.choice("AEINT1")
+            norm = "".join(rng.choices("ABENT", k=rng.randrange(4))) + "".join(word) + "".join(rng.choices("QUIET", k=rng.randrange(4)))
+            n = len(token)
+            want = any(SequenceMatcher(None, norm[i:i + n], token).ratio() >= 0.82 for i in range(len(norm) - n + 1))
+            assert fuzzy.contains_fuzzy(norm, token) == want, (norm, token)
+            hits += want
+        assert 0 < hits < 300
