@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packaudit.functions import skew
+from packaudit.session import stage
 
 LIST_COLS = ["scan_id", "ts", "overall", "n_violations", "n_borderline", "net_quantity", "mrp", "manufacturer",
              "officer"]
+#: Parts of a stored history; one part is read and rewritten by one task.
+BUCKETS = 256
 
 
 def declared(declarations: Column, field: str) -> Column:
@@ -36,18 +40,47 @@ def upsert_history(new: DataFrame, existing: DataFrame) -> DataFrame:
     return skew.last_by(existing.unionByName(new), ["scan_id"], "batch_seq").select(*existing.columns)
 
 
-def get_scan(history: DataFrame, scan_id: str) -> DataFrame:
-    """Point lookup; the equality reaches the file scan (H2)."""
-    return history.where(F.col("scan_id") == scan_id)
+def bucket_of(scan_id: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(scan_id), F.lit(buckets)).cast("int")
+
+
+def upsert_table(new: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Fold ``new`` into the stored history at ``path``, split by bucket of the scan.
+
+    Only buckets that a new row falls into are read and rewritten; their numbers, at most ``buckets``, reach the driver.
+    The merged rows are staged first, so a failed write can be repeated from them.
+    """
+    spark = new.sparkSession
+    incoming = stage(new.withColumn("bucket", bucket_of(F.col("scan_id"), buckets)), "upserts")
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = incoming.limit(0)
+    touched = [r.bucket for r in incoming.select("bucket").distinct().collect()]
+    merged = stage(upsert_history(incoming, stored.where(F.col("bucket").isin(touched)).select(*incoming.columns)), "history")
+    (merged.repartition("bucket").sortWithinPartitions("bucket", "scan_id").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+
+
+def get_scan(history: DataFrame, scan_id: str, buckets: int = BUCKETS) -> DataFrame:
+    """Point lookup; in a stored history it reads one bucket, and the equality reaches the file scan (H2)."""
+    found = history.where(F.col("scan_id") == scan_id)
+    return found.where(F.col("bucket") == bucket_of(F.lit(scan_id), buckets)) if "bucket" in history.columns else found
 
 
 def list_scans(history: DataFrame, limit: int = 50, offset: int = 0, overall: str | None = None,
-               q: str | None = None) -> DataFrame:
+               q: str | None = None, after: tuple | None = None) -> DataFrame:
     """Newest scans, optionally of one verdict or containing a text (H3).
 
-    ``q`` is matched without case, and its own % and _ stay wildcards.
+    ``q`` is matched without case, and its own % and _ stay wildcards. ``after``, the ts and scan_id of the last row seen,
+    starts a later page without sorting the earlier ones again.
     """
     df = history
+    if after is not None:
+        ts, last = F.lit(after[0]), F.lit(after[1])
+        df = df.where((F.col("ts") < ts) | ((F.col("ts") == ts) & (F.col("scan_id") > last)))
     if overall:
         df = df.where(F.col("overall") == overall)
     if q:

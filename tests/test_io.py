@@ -118,6 +118,34 @@ def test_history_log_replays_and_compacts(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "table")).count() == 2
 
 
+def test_stored_history_rewrites_only_touched_buckets(spark, tmp_path):
+    path = str(tmp_path / "table")
+
+    def put(rows):
+        hs.upsert_table(spark.createDataFrame(rows, "scan_id string, ts string, overall string, batch_seq long"), path, 8)
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+    put([(f"s{i}", "2024-01-01", "COMPLIANT", 1) for i in range(40)] + [(None, "2024-01-01", "COMPLIANT", 1)])
+    before = files()
+    put([("s3", "2024-01-02", "NON_COMPLIANT", 2)])
+    assert len(before & files()) == len(before) - 1
+    table = spark.read.parquet(path)
+    assert table.count() == 41
+    assert [(r.overall, r.batch_seq) for r in hs.get_scan(table, "s3", 8).collect()] == [("NON_COMPLIANT", 2)]
+    plan = hs.get_scan(table, "s3", 8)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(scan_id,s3)" in plan
+
+
+def test_pages_by_key(spark):
+    h = spark.createDataFrame([(f"s{i}", f"2024-01-0{1 + i % 3}") for i in range(9)], "scan_id string, ts string").select(
+        "scan_id", "ts", *[F.lit(None).cast("string").alias(c) for c in hs.LIST_COLS[2:]])
+    whole = [(r.ts, r.scan_id) for r in hs.list_scans(h).collect()]
+    page = [(r.ts, r.scan_id) for r in hs.list_scans(h, limit=4, after=whole[2]).collect()]
+    assert page == whole[3:7]
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     from packaudit import session
 

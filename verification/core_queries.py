@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packaudit import dims
+from packaudit import dims, session
 from packaudit.functions import geometry, rules as ru, text as tx
 from packaudit.operators import adjudication, capture, consensus as cs, gates, glyphs, history as hs, rules
 from verification import views as v
@@ -576,6 +576,17 @@ def h2(spark, sf):
     return hs.get_scan(v.history(spark, sf), "77").select("scan_id", "overall", "mrp")
 
 
+def _stored_history(spark, sf) -> str:
+    path = session.shared_path(spark, "history-table")
+    hs.upsert_table(v.history(spark, sf), path, 16)
+    return path
+
+
+@query("h2_get_scan_stored", with_("hist", "SELECT scan_id, overall, mrp FROM hist WHERE scan_id='77'"))
+def h2_stored(spark, sf):
+    return hs.get_scan(spark.read.parquet(_stored_history(spark, sf)), "77", 16).select("scan_id", "overall", "mrp")
+
+
 @query("h3_list_scans", with_("hist", """SELECT scan_id, overall, n_violations, net_quantity, mrp, manufacturer FROM hist
   WHERE overall='NON_COMPLIANT' AND (manufacturer ILIKE '%hIgh%' OR mrp ILIKE '%hIgh%' OR net_quantity ILIKE '%hIgh%' OR scan_id ILIKE '%hIgh%')
   ORDER BY ts DESC, scan_id LIMIT 50 OFFSET 20"""))
@@ -607,3 +618,11 @@ def h5_all(spark, sf):
 def s6(spark, sf):
     return hs.upsert_history(v.history_updates(spark, sf), v.history(spark, sf)).select(
         "scan_id", "overall", "n_violations", "batch_seq")
+
+
+@query("s6_upsert_table", with_("hist", """SELECT scan_id, CASE WHEN k%10=0 THEN 'COMPLIANT' ELSE overall END AS overall,
+  CASE WHEN k%10=0 THEN 0 ELSE n_violations END AS n_violations, (CASE WHEN k%10=0 THEN 2 ELSE 1 END)::BIGINT AS batch_seq FROM hist"""))
+def s6_stored(spark, sf):
+    path = _stored_history(spark, sf)
+    hs.upsert_table(v.history_updates(spark, sf), path, 16)
+    return spark.read.parquet(path).select("scan_id", "overall", "n_violations", "batch_seq")
