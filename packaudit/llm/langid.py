@@ -24,6 +24,9 @@ from packaudit.llm import chars
 BITS = 16
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: See bounds(); LEAST_MARGIN in nats an n-gram.
+MARGIN = 20
+LEAST_MARGIN = 1.0
 #: Code points from here on are letters for our purpose, except general punctuation.
 _TABLE = 0x250
 _EMPTY = 1 << BITS
@@ -120,32 +123,52 @@ def log_likelihoods(texts: list[str], logs: np.ndarray) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with lang_pred and score (the posterior)."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str], fit: bool = False) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with lang_pred and score (the posterior); if asked, also fit: the mean log-probability of the text's
+    n-grams in that language, null without one."""
     langs, logs, prior = model
+    if fit:
+        # One more column counts the n-grams.
+        logs = np.hstack([logs, np.ones((len(logs), 1))])
+        logs[_EMPTY:] = 0
     shared = docs.sparkSession.sparkContext.broadcast((logs, prior))
     inner = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
                         F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("t"))
     schema = ", ".join([f"k{i} {inner.schema[i].dataType.simpleString()}" for i in range(len(keep))]
-                       + ["lang_pred string", "score double"])
+                       + ["lang_pred string", "score double"] + ["fit double"] * fit)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, prior = shared.value
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            lang, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            lang, sure, mean = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
             if langs:
-                total = log_likelihoods([t or "" for t in texts], logs) + prior
+                sums = log_likelihoods([t or "" for t in texts], logs)
+                total = sums[:, :len(langs)] + prior
                 best = total.argmax(1)
                 sure = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                 sure[[t is None for t in texts]] = 0
                 lang = [UNKNOWN if t is None else langs[b] for t, b in zip(texts, best)]
+                if fit:
+                    mean = np.where(sums[:, -1] > 0, sums[np.arange(len(texts)), best] / np.maximum(sums[:, -1], 1), np.nan)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(sure, pa.float64())],
-                [*[f"k{i}" for i in range(len(keep))], "lang_pred", "score"])
+                [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(sure, pa.float64())]
+                + [pa.array(mean, pa.float64(), from_pandas=True)] * fit,
+                [*[f"k{i}" for i in range(len(keep))], "lang_pred", "score"] + ["fit"] * fit)
 
     out = inner.mapInArrow(score, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", *["fit"] * fit)
+
+
+def bounds(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> dict[str, float]:
+    """The least fit a text of each language may have, from labelled rows that the model was not trained on.
+
+    It lies below the median of the language's rows by MARGIN times the distance from there to their lower quartile, and by LEAST_MARGIN
+    at least; a few rows with a wrong label do not move it. A language without such rows has none. One number a language comes to the driver.
+    """
+    judged = identify(rows.where(F.col("lang").isNotNull()), model, ["lang"], fit=True).where("lang = lang_pred and fit is not null")
+    found = judged.groupBy("lang").agg(F.percentile_approx("fit", [0.25, 0.5]).alias("q")).collect()
+    return {r["lang"]: r["q"][1] - max(MARGIN * (r["q"][1] - r["q"][0]), LEAST_MARGIN) for r in found}
 
 
 def languages(docs: DataFrame) -> DataFrame:
