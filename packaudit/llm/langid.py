@@ -25,8 +25,8 @@ BITS = 16
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: See bounds(); LEAST_MARGIN in nats an n-gram.
-MARGIN = 20
-LEAST_MARGIN = 1.0
+MARGIN = 30
+LEAST_MARGIN = 1.5
 #: Code points from here on are letters for our purpose, except general punctuation.
 _TABLE = 0x250
 _EMPTY = 1 << BITS
