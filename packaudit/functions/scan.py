@@ -20,12 +20,13 @@ from packaudit.session import stage
 PART_ROWS = 200_000
 
 
-def laid_out(df: DataFrame, keys: list[str], order: list[str], rows: int = PART_ROWS) -> DataFrame:
+def laid_out(df: DataFrame, keys: list[str], order: list[str], rows: int = PART_ROWS, settled: bool = False) -> DataFrame:
     """``df`` sorted by keys and order, staged, with ``_at`` (ascending along the sort) and ``_part``.
 
-    Rows that agree in all of keys and order may come in any order and share a part, so ``order`` should tell rows apart.
+    Rows that agree in all of keys and order may come in any order and share a part, so ``order`` should tell rows apart. The sort reads its
+    input three times (number, cut points, rows), so it is staged first unless it is ``settled``, that is, cheap to read again.
     """
-    staged = stage(df, "unsorted")
+    staged = df if settled else stage(df, "unsorted")
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), staged.count() // rows + 1)
     by = [*keys, *order]
     return stage(staged.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("*", F.monotonically_increasing_id().alias("_at"))
