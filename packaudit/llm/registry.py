@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packaudit.llm import credentials, decontaminate, langid, licenses, packing, pages, quality, sharding, simhash, vectors
+from packaudit.llm import (credentials, decontaminate, langid, licenses, mixing, packing, pages, prefixes, quality, runs, sharding, simhash,
+                           vectors)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -15,6 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenizer() -> str:
+    import public_tokenizers  # only packing needs the vocabulary files
     return packing.read_spec(public_tokenizers.path(TOKENIZER))
 
 
@@ -29,6 +30,9 @@ QUERIES = {
     "op8_packing": lambda s, d: packing.pack(table(s, d, "documents"), tokenizer()),
     "op9_decontamination": lambda s, d: decontaminate.report(table(s, d, "documents"), table(s, d, "benchmark")),
     "op10_main_text": lambda s, d: pages.extract(table(s, d, "pages")),
+    "op11_periodic_runs": lambda s, d: runs.report(table(s, d, "documents")),
+    "op12_source_mix": lambda s, d: mixing.mix(table(s, d, "documents")),
+    "op13_prefix_trie": lambda s, d: prefixes.report(table(s, d, "conversations")),
 }
 ORACLE = {
     "op1_license_scan": licenses.oracle(),
