@@ -306,9 +306,10 @@ def trie(turns: DataFrame, convs: DataFrame, size: int = SEGMENT, block: int = B
     least = merged.select("name", F.col("conv_id").alias("parent_least"))
     # A block's nodes look up their parents among the block's own parts, so no parent gathers its children.
     here = parts.select("blk", "name").distinct().join(least, "name").withColumnRenamed("name", "above")
-    final = nodes.where("name is null").join(here, ["blk", "above"], "left").withColumn("parent_conv_id", F.coalesce("parent_conv_id", "parent_least"))
+    whole = nodes.where("name is null")
+    below = whole.where("above is not null").join(here, ["blk", "above"]).withColumn("parent_conv_id", F.col("parent_least"))
     across = merged.where("shown").join(least.withColumnRenamed("name", "above"), "above", "left").withColumn("parent_conv_id", F.col("parent_least"))
-    return final.select(*RESULT).unionByName(across.select(*RESULT))
+    return whole.where("above is null").select(*RESULT).unionByName(below.select(*RESULT)).unionByName(across.select(*RESULT))
 
 
 RESULT = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
