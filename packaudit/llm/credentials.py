@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packaudit.llm.columns import free
 from packaudit.session import stage
 
 KINDS = ["assign", "access", "hex", "owned"]
@@ -165,19 +166,20 @@ def mask(docs: DataFrame, owner: str = "source") -> DataFrame:
     """
     hinted = _hinted(F.coalesce("text", F.lit("")))
     columns = docs.columns
-    held = stage(docs.where(hinted).select(F.monotonically_increasing_id().alias("__row"), *columns), "hinted")
-    found = find(held.select(F.col("__row").alias("doc_id"), F.col(owner).alias("owner"), "text"), "owner")
+    row, named = free(columns, "__row", "__live")
+    held = stage(docs.where(hinted).select(F.monotonically_increasing_id().alias(row), *columns), "hinted")
+    found = find(held.select(F.col(row).alias("doc_id"), F.col(owner).alias("owner"), "text"), "owner")
     live = (found.select("doc_id", F.explode("found").alias("c")).where("c.kind = 3")
-            .select(F.col("doc_id").alias("__row"), F.col("c.value").alias("value"))
+            .select(F.col("doc_id").alias(row), F.col("c.value").alias("value"))
             .join(ownership(found).where(F.col("n_owners") <= LIVE_OWNERS), "value")
-            .groupBy("__row").agg(F.collect_set("value").alias("__live")))
-    joined = held.join(live, "__row", "left").select(*columns, F.coalesce("__live", F.array().cast("array<string>")).alias("__live"))
+            .groupBy(row).agg(F.collect_set("value").alias(named)))
+    joined = held.join(live, row, "left").select(*columns, F.coalesce(named, F.array().cast("array<string>")).alias(named))
 
     @F.pandas_udf("string")
     def rewrite(text: pd.Series, live: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else masked(t, list(x)) for t, x in zip(text, live)], dtype=object)
 
-    clear = joined.withColumn("text", rewrite("text", "__live")).drop("__live")
+    clear = joined.withColumn("text", rewrite("text", named))
     if "n_chars" in columns:
         clear = clear.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return docs.where(~hinted).unionByName(clear.select(*columns))

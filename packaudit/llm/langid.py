@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packaudit.llm import chars
+from packaudit.llm.columns import free
 
 BITS = 16
 SMOOTHING = 0.5
@@ -123,9 +124,10 @@ def log_likelihoods(texts: list[str], logs: np.ndarray) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str], fit: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str], fit: bool = False,
+             names: tuple[str, str, str] = ("lang_pred", "score", "fit")) -> DataFrame:
     """Columns ``keep`` of ``docs`` with lang_pred and score (the posterior); if asked, also fit: the mean log-probability of the text's
-    n-grams in that language, null without one."""
+    n-grams in that language, null without one. ``names`` are theirs, for callers that keep columns of these names."""
     langs, logs, prior = model
     if fit:
         # One more column counts the n-grams.
@@ -157,7 +159,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
                 [*[f"k{i}" for i in range(len(keep))], "lang_pred", "score"] + ["fit"] * fit)
 
     out = inner.mapInArrow(score, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", *["fit"] * fit)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
+                      *[F.col(c).alias(n) for c, n in zip(["lang_pred", "score"] + ["fit"] * fit, names)])
 
 
 def bounds(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> dict[str, float]:
@@ -171,6 +174,18 @@ def bounds(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
     return {r["lang"]: r["q"][1] - max(MARGIN * (r["q"][1] - r["q"][0]), LEAST_MARGIN) for r in found}
 
 
+def recognised(docs: DataFrame, sure: float) -> DataFrame:
+    """The documents, with their columns, whose language is at least ``sure`` and whose text fits it by ``bounds``."""
+    model = train(docs.where(~held_out(1, 3)).where(F.col("doc_id").isNotNull()))
+    least = bounds(docs.where(held_out(1, 3)), model)
+    lang, score, fit = free(docs.columns, "lang_pred", "score", "fit")
+    fits = F.lit(True)
+    for known, bound in least.items():
+        fits = fits & ((F.col(lang) != known) | (F.col(fit) >= bound))
+    judged = identify(docs, model, docs.columns, fit=True, names=(lang, score, fit))
+    return judged.where((F.col(lang) != UNKNOWN) & (F.col(score) >= sure) & fits).select(*docs.columns)
+
+
 def languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document, learned from those not held out."""
     model = train(docs.where(~held_out(1, 3)).where(F.col("doc_id").isNotNull()))
