@@ -1,7 +1,8 @@
 """Running values along a sort order, for keys of any size.
 
 ``laid_out``   the rows in sort order, in parts of bounded size, staged
-``running``    running sums, maxima and counts per key along that order
+``running``    running sums and maxima per key along that order
+``previous``   values of the row before, per key
 ``positions``  the gapless number of each row in the whole order
 
 A key with a third of all rows spreads over many parts: values run inside a part, and what a part takes over from those before it
@@ -33,23 +34,42 @@ def laid_out(df: DataFrame, keys: list[str], order: list[str], rows: int = PART_
                  .withColumn("_part", F.shiftright("_at", 33).cast("int")), "sorted")
 
 
-def running(laid: DataFrame, keys: list[str], sums: dict[str, Column] | None = None, highs: dict[str, Column] | None = None) -> DataFrame:
-    """Add the running sums and maxima, the row itself included. ``keys`` must not be null; a sum's column must not be, either."""
+def _carried(laid: DataFrame, keys: list[str], totals: dict[str, Column], taken: dict[str, Column]) -> DataFrame:
+    """``taken`` over the ``totals`` of a key's earlier parts, for every (key, part) but a key's first.
+
+    In sort order at most one key reaches into a part from those before it, so there is a row a part at most.
+    """
+    order = W.partitionBy(*keys).orderBy("_part")
+    each = laid.groupBy(*keys, "_part").agg(*[c.alias(n) for n, c in totals.items()]).withColumn("_i", F.row_number().over(order))
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    return each.select(*keys, "_part", "_i", *[c.over(before).alias(f"_c_{n}") for n, c in taken.items()]).where("_i > 1").drop("_i")
+
+
+def running(laid: DataFrame, keys: list[str], sums: dict[str, Column] | None = None, highs: dict[str, Column] | None = None,
+            strict: bool = False) -> DataFrame:
+    """Add the running sums and maxima, the row itself included, or left out if ``strict``. Keys and summed columns must not be null.
+
+    Before a key's first row a strict sum is 0 and a strict maximum null.
+    """
     sums, highs = sums or {}, highs or {}
     folds = {**{n: (F.sum, c) for n, c in sums.items()}, **{n: (F.max, c) for n, c in highs.items()}}
-    totals = laid.groupBy(*keys, "_part").agg(*[f(c).alias(n) for n, (f, c) in folds.items()])
-    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    # In sort order at most one key reaches into a part from those before it, so this table has a row a part at most.
-    carried = (totals.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy("_part"))).select(
-        *keys, "_part", "_i", *[f(n).over(before).alias(f"_c_{n}") for n, (f, _) in folds.items()])
-        .where("_i > 1").drop("_i"))
-    here = W.partitionBy("_part", *keys).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    carried = _carried(laid, keys, {n: f(c) for n, (f, c) in folds.items()}, {n: f(n) for n, (f, _) in folds.items()})
+    here = W.partitionBy("_part", *keys).orderBy("_at").rowsBetween(W.unboundedPreceding, -1 if strict else 0)
     local = laid.select("*", *[f(c).over(here).alias(n) for n, (f, c) in folds.items()])
     out = local.join(F.broadcast(carried), [*keys, "_part"], "left")
-    taken = {n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums} | {n: F.greatest(n, f"_c_{n}") for n in highs}
+    taken = ({n: F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
+             | {n: F.greatest(n, f"_c_{n}") for n in highs})
     return out.select(*laid.columns, *[c.alias(n) for n, c in taken.items()])
 
 
+def previous(laid: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Add the values of the row before; null at a key's first row. The values must not be null."""
+    carried = _carried(laid, keys, {n: F.max_by(c, "_at") for n, c in values.items()}, {n: F.last(n) for n in values})
+    here = W.partitionBy("_part", *keys).orderBy("_at")
+    out = laid.select("*", *[F.lag(c).over(here).alias(n) for n, c in values.items()]).join(F.broadcast(carried), [*keys, "_part"], "left")
+    return out.select(*laid.columns, *[F.coalesce(n, f"_c_{n}").alias(n) for n in values])
+
+
 def positions(laid: DataFrame, name: str) -> DataFrame:
     """Add the number of each row in the whole order, from 0."""
     counts = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))

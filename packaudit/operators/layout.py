@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from packaudit import dims
-from packaudit.functions import geometry, skew, text as tx
+from packaudit.functions import geometry, scan, skew, text as tx
+from packaudit.session import stage
 
 BOX_COLS = ["x", "y", "w", "h"]
 
@@ -24,22 +26,41 @@ def vertical_bands(words: DataFrame) -> DataFrame:
     The open line's mean never lies above the previous centre, so a gap of 0.6 times
     the largest height seen so far always starts a new line. The bands between such
     gaps are independent and are what later work is spread by. Words are first reduced
-    to one row per distinct centre, of which a frame has as many as pixel rows.
+    to one row per distinct centre, with their number ``n``; what runs along a scan runs
+    over parts of it.
     """
     centre = F.col("y") + F.col("h") / 2.0
-    rows = words.groupBy("scan_id", centre.alias("cy")).agg(F.max("h").alias("hmax"))
-    order = W.partitionBy("scan_id").orderBy("cy")
-    reach = F.max("hmax").over(order.rowsBetween(W.unboundedPreceding, 0))
-    opens = F.coalesce((F.col("cy") - F.lag("cy").over(order)) >= dims.LINE_TOLERANCE * reach, F.lit(True))
-    return rows.select("scan_id", "cy", opens.cast("int").alias("opens")).select(
-        "scan_id", "cy", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("band"))
+    rows = words.where(F.col("scan_id").isNotNull()).groupBy("scan_id", centre.alias("cy")).agg(
+        F.max("h").alias("hmax"), F.count(F.lit(1)).alias("n"))
+    laid = scan.laid_out(rows, ["scan_id"], ["cy"])
+    seen = scan.previous(scan.running(laid, ["scan_id"], highs={"reach": F.col("hmax")}), ["scan_id"], {"above": F.col("cy")})
+    opens = F.coalesce((F.col("cy") - F.col("above")) >= dims.LINE_TOLERANCE * F.col("reach"), F.lit(True))
+    return scan.running(seen.withColumn("opens", opens.cast("int")), ["scan_id"], {"band": F.col("opens")}).select(
+        "scan_id", "cy", "band", "n")
 
 
 class OpenLine:
-    """Running mean centre and median height of the line being filled."""
+    """Running mean centre and median height of the line being filled; ``start`` is the place of its first word."""
 
-    def __init__(self) -> None:
-        self.n, self.total, self.heights = 0, 0.0, {}
+    def __init__(self, start: int = 0) -> None:
+        self.start, self.n, self.total, self.heights = start, 0, 0.0, {}
+
+    def dump(self) -> str:
+        return json.dumps([self.start, self.n, self.total, sorted(self.heights.items())])
+
+    @staticmethod
+    def load(text: str) -> OpenLine:
+        line = OpenLine()
+        line.start, line.n, line.total, heights = json.loads(text)
+        line.heights = dict(map(tuple, heights))
+        return line
+
+    def joined(self, more: OpenLine) -> OpenLine:
+        """This line with all words of another."""
+        self.n, self.total = self.n + more.n, self.total + more.total
+        for h, n in more.heights.items():
+            self.heights[h] = self.heights.get(h, 0) + n
+        return self
 
     def add(self, cy: float, h: float) -> None:
         self.n += 1
@@ -89,42 +110,173 @@ def number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          [*batch.schema.names, "grp"])
 
 
-def line_groups(words: DataFrame) -> DataFrame:
+#: Words of a block of a band that is longer than one.
+BLOCK_WORDS = 8192
+
+
+def line_groups(words: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """Words with (band, grp): the printed line each belongs to.
 
     The running mean and median are sequential, so this one step runs in Python, over
-    Arrow batches and per band rather than per scan.
+    Arrow batches and per band rather than per scan. Bands of more than ``block`` words
+    are cut into blocks that run side by side (``long_bands``).
     """
     cols = ["scan_id", "word_no", "text", *BOX_COLS, "conf"]
+    bands = stage(vertical_bands(words), "bands")
     placed = (words.select(*cols).withColumn("cy", F.col("y") + F.col("h") / 2.0)
-              .join(vertical_bands(words), ["scan_id", "cy"])
-              .select(*cols, "cy", "band")
-              .repartition("scan_id", "band")
-              .sortWithinPartitions("scan_id", "band", "cy", "word_no"))
+              .join(bands.select("scan_id", "cy", "band"), ["scan_id", "cy"]).select(*cols, "cy", "band"))
+    long_ = bands.groupBy("scan_id", "band").agg(F.sum("n").alias("n")).where(F.col("n") > block).select("scan_id", "band")
+    any_long = long_.limit(1).count() > 0
+    short = placed.join(long_, ["scan_id", "band"], "left_anti") if any_long else placed
+    dealt = short.select(*cols, "cy", "band").repartition("scan_id", "band").sortWithinPartitions("scan_id", "band", "cy", "word_no")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields) + ", grp int"
+    out = dealt.mapInArrow(number_lines, ddl)
+    if not any_long:
+        return out
+    return out.unionByName(long_bands(placed.join(long_, ["scan_id", "band"], "left_semi").select(*cols, "cy", "band"), block))
+
+
+def _run_block(rows: pa.Table, line: OpenLine | None) -> tuple[list[int], OpenLine]:
+    """Line of each word of a block (the place of its first word), from the line open before, or from a guessed fresh one; and the line open after."""
+    out = []
+    for at, cy, h in zip(*(rows.column(c).to_pylist() for c in ("pos", "cy", "h"))):
+        if line is None or not line.takes(cy, h):
+            line = OpenLine(at)
+        line.add(cy, h)
+        out.append(line.start)
+    return out, line
+
+
+def _entry(entries: pa.Table) -> OpenLine | None:
+    line = entries.column("entry")[0].as_py() if entries.num_rows else None
+    return OpenLine.load(line) if line else None
+
+
+def _by_block(rows: DataFrame, entries: DataFrame):
+    """Both tables by block, over as many tasks as a shuffle has: these few rows take long, so small partitions must not be put together."""
+    keys, tasks = ["scan_id", "band", "blk"], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys).groupBy(*keys).cogroup(entries.repartition(tasks, *keys).groupBy(*keys))
+
+
+_TRIED = pa.schema([("blk", pa.int64()), ("entry", pa.string()), ("exit", pa.string()), ("total", pa.string()), ("through", pa.bool_())])
+
+
+def _try_blocks(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row per block: the line it was entered with, the line it leaves open, all its words as one line, and whether it began no other line."""
+    scan_type = rows.schema["scan_id"].dataType.simpleString()
+
+    def run(key, words: pa.Table, entries: pa.Table) -> pa.Table:
+        words = words.sort_by("pos")
+        if words.num_rows == 0:
+            return pa.table({"scan_id": pa.array([], words.schema.field("scan_id").type), "band": pa.array([], pa.int64())}).append_column(
+                "blk", pa.array([], pa.int64()))
+        line = _entry(entries)
+        entered = line.dump() if line else None
+        starts, line = _run_block(words, line)
+        total = OpenLine(words.column("pos")[0].as_py())
+        for cy, h in zip(words.column("cy").to_pylist(), words.column("h").to_pylist()):
+            total.add(cy, h)
+        through = starts[0] == starts[-1]
+        data = {"blk": [words.column("blk")[0].as_py()], "entry": [entered], "exit": [line.dump()], "total": [total.dump()], "through": [through]}
+        return pa.table({"scan_id": words.column("scan_id").slice(0, 1), "band": words.column("band").slice(0, 1),
+                         **{f.name: pa.array(data[f.name], f.type) for f in _TRIED}})
+
+    return _by_block(rows, entries).applyInArrow(
+        run, f"scan_id {scan_type}, band long, blk long, entry string, exit string, total string, through boolean")
+
+
+def _stitch(tried: DataFrame) -> DataFrame:
+    """Entry of each block, from what the blocks before it leave open, and whether the block was entered so.
+
+    Up to the first block that was entered otherwise, entries are final; beyond, they are the best guess: a block that began no other line passes
+    the open one on with its own words added, any other leaves open what it left before.
+    """
+    scan_type = tried.schema["scan_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("blk")
+        state, entries, settled = None, [], []
+        for entered, left, total, through in zip(*(table.column(c).to_pylist() for c in ("entry", "exit", "total", "through"))):
+            entries.append(state)
+            settled.append(entered == state)
+            if entered != state and through:
+                state = OpenLine.load(state).joined(OpenLine.load(total)).dump()
+            else:
+                state = left
+        return table.select(["scan_id", "band", "blk"]).append_column("entry", pa.array(entries, pa.string())).append_column(
+            "settled", pa.array(settled, pa.bool_()))
+
+    return tried.groupBy("scan_id", "band").applyInArrow(run, f"scan_id {scan_type}, band long, blk long, entry string, settled boolean")
+
+
+def long_bands(words: DataFrame, block: int) -> DataFrame:
+    """``words`` (scan_id, band, word_no, cy, h and others) with ``grp``, the same as one pass over each band would give.
+
+    Every block first runs as if a fresh line began at its first word. The lines that blocks leave open are handed on along the band, and blocks
+    that were entered with another line run again, until each was entered with what the one before it left open. Two runs over the same words
+    agree from the first line start that they share, so few blocks run more than twice.
+    """
+    keys = ["scan_id", "band"]
+    laid = scan.laid_out(words.withColumn("band", F.col("band").cast("long")), keys, ["cy", "word_no"])
+    placed = scan.running(laid, keys, {"pos": F.lit(1)}, strict=True).withColumn("pos", F.col("pos").cast("long"))
+    placed = stage(placed.withColumn("blk", F.floor(F.col("pos") / block)).drop("_at", "_part"), "blocks")
+    rows = placed.select(*keys, "blk", "pos", "cy", "h")
+    none = rows.select(*keys, "blk", F.lit(None).cast("string").alias("entry")).limit(0)
+    tried = stage(_try_blocks(rows, none), "tried")
+    while True:
+        stitched = stage(_stitch(tried), "stitched")
+        open_ = stitched.where("not settled").select(*keys, "blk", "entry")
+        if open_.limit(1).count() == 0:
+            break
+        again = _try_blocks(rows.join(open_.select(*keys, "blk"), [*keys, "blk"], "left_semi"), open_)
+        tried = stage(tried.join(open_.select(*keys, "blk"), [*keys, "blk"], "left_anti").select(*again.columns).unionByName(again), "tried")
+    kept = placed.columns
+
+    def number(key, words: pa.Table, entries: pa.Table) -> pa.Table:
+        words = words.sort_by("pos")
+        starts, _ = _run_block(words, _entry(entries))
+        return words.select(kept).append_column("grp", pa.array(starts, pa.int32()))
+
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields) + ", grp int"
-    return placed.mapInArrow(number_lines, ddl)
+    by = [*keys, "blk"]
+    out = _by_block(placed, stitched.select(*by, "entry")).applyInArrow(number, ddl)
+    return out.select(*words.columns, "grp")
+
+
+_GROUP = ["scan_id", "band", "grp"]
+_IN_LINE = ["x", "cy", "word_no"]
 
 
 def split_columns(grouped: DataFrame) -> DataFrame:
-    """Start a new run at a gap wider than six median heights."""
-    part = ["scan_id", "band", "grp"]
-    order = W.partitionBy(*part).orderBy("x", "cy", "word_no")
-    med = F.percentile("h", 0.5).over(W.partitionBy(*part))
-    gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(order)
-    return (grouped.withColumn("_cut", F.coalesce((gap > dims.COLUMN_GAP * med).cast("int"), F.lit(0)))
-            .withColumn("run", F.sum("_cut").over(order.rowsBetween(W.unboundedPreceding, 0)))
-            .drop("_cut"))
+    """Start a new run at a gap wider than six median heights.
+
+    The words of a group are laid out in parts, which ``line_spans`` goes on with (columns _at, _part), so a line of any
+    length spreads over tasks.
+    """
+    laid = scan.laid_out(grouped, _GROUP, _IN_LINE)
+    medians = skew.percentiles(laid, _GROUP, "h", {"_med": 0.5})
+    before = scan.previous(laid, _GROUP, {"_right": F.col("x") + F.col("w")})
+    # Joined part by part: a hot group's words stay where they are.
+    parts = laid.select(*_GROUP, "_part").distinct().join(medians, _GROUP)
+    cut = F.coalesce((F.col("x") - F.col("_right") > dims.COLUMN_GAP * F.col("_med")).cast("int"), F.lit(0))
+    marked = before.join(parts, [*_GROUP, "_part"]).withColumn("_cut", cut)
+    return scan.running(marked, _GROUP, {"run": F.col("_cut")}).drop("_cut", "_med", "_right")
+
+
+def spanned_words(runs: DataFrame) -> DataFrame:
+    """Words with their char span [s, e) in their printed line's text."""
+    laid = runs if "_at" in runs.columns else scan.laid_out(runs, [*_GROUP, "run"], _IN_LINE)
+    ran = scan.running(laid, [*_GROUP, "run"], {"s": F.length("text") + 1}, strict=True)
+    return ran.withColumn("s", F.col("s").cast("int")).withColumn("e", (F.col("s") + F.length("text")).cast("int")).drop("_at", "_part")
 
 
 def line_spans(runs: DataFrame) -> DataFrame:
     """One row per printed line with its text, box and words with char spans.
 
-    Lines are numbered from 0 by top, then left.
+    Lines are numbered from 0 by top, then left. ``spanned_words`` gives the same spans with a row per word.
     """
-    keys = ["scan_id", "band", "grp", "run"]
-    before = W.partitionBy(*keys).orderBy("x", "cy", "word_no").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int")
-    spanned = runs.withColumn("s", start).withColumn("e", (F.col("s") + F.length("text")).cast("int"))
+    keys = [*_GROUP, "run"]
+    spanned = spanned_words(runs)
     word = F.struct("s", "e", "text", *BOX_COLS, "conf")
     lines = (spanned.groupBy(*keys)
              .agg(F.sort_array(F.collect_list(word)).alias("words"), *bbox_agg())
@@ -184,7 +336,7 @@ def _cells(size: int) -> Column:
     """Grid cells a box touches, as one integer pair per row."""
     def steps(at: str, extent: str) -> Column:
         lo = F.floor(F.col(at) / size)
-        return F.sequence(lo, F.greatest(lo, F.floor((F.col(at) + F.greatest(F.col(extent), F.lit(1)) - 1) / size)))
+        return F.sequence(lo, F.greatest(lo, F.floor((F.ceil(F.col(at) + F.greatest(F.col(extent), F.lit(1))) - 1) / size)))
     return F.flatten(F.transform(steps("x", "w"), lambda cx: F.transform(
         steps("y", "h"), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
@@ -212,58 +364,41 @@ def merge_candidates(words: DataFrame, primary: DataFrame, cell: int = 64) -> Da
     return extra.join(taken, on, "left_anti")
 
 
-class KeptBoxes:
-    """Boxes kept so far in one band, found by grid cell."""
-
-    def __init__(self, cell: int = 64) -> None:
-        self.cell, self.grid = cell, {}
+def conflicts(candidates: DataFrame, cell: int = 64) -> DataFrame:
+    """Pairs (later, earlier) of candidates, by ``i``, of which the earlier one, if kept, keeps the later one out.
 
-    def _touched(self, x, y, w, h):
-        c = self.cell
-        return [(i, j) for i in range(int(x // c), int((x + max(w, 1) - 1) // c) + 1)
-                for j in range(int(y // c), int((y + max(h, 1) - 1) // c) + 1)]
-
-    def admit(self, x, y, w, h) -> bool:
-        """Keep the box unless one already kept overlaps it too much."""
-        touched = self._touched(x, y, w, h)
-        for kx, ky, kw, kh in {k for t in touched for k in self.grid.get(t, ())}:
-            iw, ih = min(x + w, kx + kw) - max(x, kx), min(y + h, ky + kh) - max(y, ky)
-            if iw > 0 and ih > 0:
-                inter, union = iw * ih, w * h + kw * kh - iw * ih
-                if (union > 0 and inter / union >= dims.MERGE_IOU) or inter / max(1, w * h) >= dims.MERGE_COVER:
-                    return False
-        for t in touched:
-            self.grid.setdefault(t, []).append((x, y, w, h))
-        return True
-
-
-def _admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep each word unless a word kept earlier in its band overlaps it."""
-    last, kept = None, KeptBoxes()
-    for batch in batches:
-        flags = []
-        for scan, band, *box in zip(*[batch.column(c).to_pylist() for c in ("scan_id", "band", *BOX_COLS)]):
-            if (scan, band) != last:
-                last, kept = (scan, band), KeptBoxes()
-            flags.append(kept.admit(*box))
-        yield batch.filter(pa.array(flags, pa.bool_()))
+    Boxes meet by grid cell; a pair counts in the cell where its intersection begins, so once.
+    """
+    def side(name: str) -> DataFrame:
+        return candidates.select("scan_id", F.struct("pass_no", "word_no", "i").alias("o"), *BOX_COLS, F.explode(_cells(cell)).alias("cell")).alias(name)
+    begins = [F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / cell) for c in ("x", "y")]
+    pairs = side("a").join(side("b"), (F.col("a.scan_id") == F.col("b.scan_id")) & (F.col("a.cell") == F.col("b.cell"))
+                           & (F.col("b.o") < F.col("a.o")) & (F.col("a.cell.cx") == begins[0]) & (F.col("a.cell.cy") == begins[1])
+                           & _overlaps("a", "b"))
+    return pairs.select(F.col("a.o.i").alias("later"), F.col("b.o.i").alias("earlier"))
 
 
 def admit_in_order(candidates: DataFrame) -> DataFrame:
     """Greedy choice among surviving words, in pass then word order (P10, stage 2).
 
-    Words that share no pixel row cannot block one another, so the order only matters
-    inside a run of vertically touching boxes; those runs are the unit of work.
+    Of words with the very same box only the first can be kept. Among the others, the choice is the independent set that comes first in that
+    order, found in rounds over the pairs in conflict: a word with no open conflict before it stays, what it keeps out goes, and pairs of
+    words that are decided are dropped. A round decides all such words of all scans at once, however large a scan or a band of one is.
     """
-    rows = candidates.groupBy("scan_id", "y").agg(F.max(F.col("y") + F.col("h")).alias("bottom"))
-    order = W.partitionBy("scan_id").orderBy("y")
-    above = F.max("bottom").over(order.rowsBetween(W.unboundedPreceding, -1))
-    opens = rows.select("scan_id", "y", F.coalesce((F.col("y") >= above).cast("int"), F.lit(1)).alias("o"))
-    bands = opens.select("scan_id", "y", F.sum("o").over(
-        order.rowsBetween(W.unboundedPreceding, 0)).alias("band"))
-    placed = (candidates.join(bands, ["scan_id", "y"]).repartition("scan_id", "band")
-              .sortWithinPartitions("scan_id", "band", "pass_no", "word_no"))
-    return placed.mapInArrow(_admit, placed.schema).drop("band").select(*candidates.columns)
+    named = stage(candidates.withColumn("i", F.monotonically_increasing_id()), "candidates")
+    solid = F.when((F.col("w") > 0) & (F.col("h") > 0), F.lit(0)).otherwise(F.col("i"))  # empty boxes overlap nothing
+    first = named.groupBy("scan_id", *BOX_COLS, solid.alias("_solid")).agg(F.min(F.struct("pass_no", "word_no", "i")).alias("o")).select(
+        "scan_id", *BOX_COLS, "o.*")
+    edges = stage(conflicts(first), "conflicts")
+    out = first.select("i").limit(0)
+    while edges.limit(1).count() > 0:
+        free = edges.select(F.col("earlier").alias("i")).distinct().join(edges.select(F.col("later").alias("i")).distinct(), "i", "left_anti")
+        decided = stage(edges.join(free.withColumnRenamed("i", "earlier"), "earlier", "left_semi").select(F.col("later").alias("i")).distinct(), "kept-out")
+        out = out.unionByName(decided)
+        edges = stage(edges.join(free.withColumnRenamed("i", "earlier"), "earlier", "left_anti")
+                      .join(decided.withColumnRenamed("i", "later"), "later", "left_anti")
+                      .join(decided.withColumnRenamed("i", "earlier"), "earlier", "left_anti"), "conflicts")
+    return named.join(first.select("i"), "i", "left_semi").join(out, "i", "left_anti").select(*candidates.columns)
 
 
 def merge_passes(words: DataFrame) -> DataFrame:

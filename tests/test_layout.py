@@ -88,6 +88,91 @@ def test_merge_passes(spark):
     assert got == want
 
 
+def folded(rows):
+    """Line of each word of a band by one pass: (word_no -> first word's place)."""
+    line, out = None, {}
+    for at, (word_no, cy, h) in enumerate(sorted(rows, key=lambda r: (r[1], r[0]))):
+        if line is None or not line.takes(cy, h):
+            line = layout.OpenLine(at)
+        line.add(cy, h)
+        out[word_no] = line.start
+    return out
+
+
+WORDS = "scan_id string, word_no int, text string, x int, y int, w int, h int, conf double"
+
+
+def grouped_by_line(pairs):
+    lines = {}
+    for word_no, line in pairs:
+        lines.setdefault(line, []).append(word_no)
+    return sorted(sorted(v) for v in lines.values())
+
+
+def test_blocks_of_a_band_give_what_one_pass_gives(spark):
+    rng = random.Random(8)
+    rows = []
+    for s, step in (("steps", 1), ("crowded", 0), ("one", None)):
+        y = 0
+        for i in range(900):
+            y = 50 if step is None else y + step if step else rng.randint(0, 1500)
+            rows.append((s, i, "t", i, y, 5, rng.choice([10, 12, 20, 20, 60]), 90.0))
+    df = spark.createDataFrame(rows, WORDS)
+    want = {s: grouped_by_line(folded([(r[1], r[4] + r[6] / 2.0, r[6]) for r in rows if r[0] == s]).items()) for s in ("steps", "crowded", "one")}
+    for block in (37, 250):
+        got = layout.line_groups(df, block).collect()
+        for s in want:
+            assert grouped_by_line((r.word_no, (r.band, r.grp)) for r in got if r.scan_id == s) == want[s], (s, block)
+
+
+def test_a_band_of_100000_words_runs_in_many_tasks(spark):
+    n = 100_000
+    words = spark.range(n).select(F.lit("s").alias("scan_id"), F.col("id").cast("int").alias("word_no"), F.lit("t").alias("text"), F.lit(0).alias("x"),
+                                  (F.col("id") * 7919 % n / 9).cast("int").alias("y"), F.lit(5).alias("w"),
+                                  F.element_at(F.array(*map(F.lit, [10, 12, 20, 60])), (F.col("id") % 4 + 1).cast("int")).alias("h"), F.lit(90.0).alias("conf"))
+    assert layout.vertical_bands(words).select("band").distinct().count() == 1
+    out = layout.line_groups(words).select("word_no", "grp", F.spark_partition_id().alias("task")).collect()
+    want = folded([(r.word_no, r.y + r.h / 2.0, r.h) for r in words.select("word_no", "y", "h").collect()])
+    assert {r.word_no: r.grp for r in out} == want and len(set(want.values())) > 500
+    assert len({r.task for r in out}) > 1
+
+
+def test_one_line_of_200000_words(spark):
+    n = 200_000
+    grouped = spark.range(n).select(
+        F.lit("s").alias("scan_id"), F.lit(1).alias("band"), F.lit(0).alias("grp"), F.col("id").cast("int").alias("word_no"),
+        F.when(F.col("id") % 3 == 0, "abc").otherwise("de").alias("text"), (F.col("id") * 50 + F.when(F.col("id") >= 150_000, 500).otherwise(0)).cast("int").alias("x"),
+        F.lit(0).alias("y"), F.lit(40).alias("w"), F.lit(20).alias("h"), F.lit(90.0).alias("conf"), F.lit(10.0).alias("cy"))
+    runs = layout.split_columns(grouped)
+    spans = layout.spanned_words(runs).select("run", "word_no", "s", "e", F.spark_partition_id().alias("task")).orderBy("word_no").collect()
+    at, run = 0, 0
+    for i, r in enumerate(spans):
+        if i == 150_000:
+            at, run = 0, 1
+        length = 3 if i % 3 == 0 else 2
+        assert (r.word_no, r.run, r.s, r.e) == (i, run, at, at + length)
+        at += length + 1
+    assert len({r.task for r in spans}) > 1
+    lines = layout.line_spans(runs).select("line_no", F.size("words").alias("n")).collect()
+    assert sorted(map(tuple, lines)) == [(0, 150_000), (1, 50_000)]
+
+
+def test_merge_in_one_crowded_band(spark):
+    """One scan of one band, boxes repeated and stacked: the greedy choice is the same and rounds work on all of it at once."""
+    rng = random.Random(6)
+    rows = [("s", 0, 9000 + i, "abcd", 10_000 + 50 * i, 0, 40, 10, 99.0) for i in range(50)]
+    rows += [("s", 1 + i % 3, i, "abc", rng.randint(0, 200), rng.randint(0, 9), rng.choice([0, 8, 40]), rng.choice([8, 30]), 80.0) for i in range(900)]
+    rows += [("s", 2, 2000 + i, "abc", 77, 3, 40, 30, 80.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "scan_id string, pass_no int, word_no int, text string, x int, y int, w int, h int, conf double")
+    kept = []
+    for r in sorted((r for r in rows if r[1] > 0), key=lambda r: (r[1], r[2])):
+        if not any(overlaps(r[4:8], k[4:8]) for k in kept):
+            kept.append(r)
+    got = layout.admit_in_order(df.where("pass_no > 0")).collect()
+    assert sorted(map(tuple, got)) == sorted(kept) and 20 < len(kept) < 900
+    assert layout.admit_in_order(df.limit(0)).collect() == []
+
+
 def test_percentiles_hot_and_light(spark):
     rng = random.Random(4)
     rows = [("hot", round(rng.gauss(0, 1), 3)) for _ in range(5000)] + [("hot", 0.5)] * 3000

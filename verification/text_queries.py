@@ -59,7 +59,22 @@ def p1p(spark, sf):
         F.sum(F.col("p").cast("bigint")).alias("pos_sum"), F.max("p").alias("last_pos"))
 
 
-@query("p2_rebuild_lines")
+# One fold per scan over its words from the top: the open line's number of words and sum of centres, and where lines began.
+# All these words have one height, so the line's median is that height.
+add("folded", ["words"], """SELECT scan_id, ws, list_reduce(ws[2:], lambda a, c: CASE WHEN abs(c.cy-a.t/a.n)<0.6::DOUBLE*20
+    THEN {'n': a.n+1, 't': a.t+c.cy, 's': a.s} ELSE {'n': 1, 't': c.cy, 's': list_append(a.s, c.i)} END, {'n': 1, 't': ws[1].cy, 's': [1::BIGINT]}).s AS starts
+  FROM (SELECT scan_id, list({'i': i, 'cy': cy, 'word_no': word_no} ORDER BY i) AS ws FROM (SELECT scan_id, word_no, y+10.0::DOUBLE AS cy,
+    row_number() OVER (PARTITION BY scan_id ORDER BY y, word_no) AS i FROM words) GROUP BY scan_id)""")
+add("lined", ["folded", "words"], """SELECT w.*, f.g FROM words w JOIN (SELECT scan_id, u.e.word_no AS word_no, max(u.g) AS g FROM (
+  SELECT scan_id, unnest(list_transform(ws, lambda e: {'e': e, 'g': len(list_filter(starts, lambda x: x<=e.i))})) AS u FROM folded) GROUP BY ALL) f
+  USING (scan_id, word_no)""")
+add("linedruns", ["lined"], """SELECT *, sum(cut) OVER (PARTITION BY scan_id, g ORDER BY x, y, word_no) AS run FROM (SELECT *,
+  CASE WHEN x-lag(x+w) OVER (PARTITION BY scan_id, g ORDER BY x, y, word_no) > 6*20 THEN 1 ELSE 0 END AS cut FROM lined)""")
+
+
+@query("p2_rebuild_lines", with_("linedruns", f"""SELECT scan_id, (row_number() OVER (PARTITION BY scan_id ORDER BY y, x, g, run)-1)::INTEGER AS line_no, md5(text) AS text_md5,
+  {r6('x')} AS x, {r6('y')} AS y, n::INTEGER AS n_words FROM (SELECT scan_id, g, run, string_agg(text, ' ' ORDER BY x, y, word_no) AS text,
+  min(x) AS x, min(y) AS y, count(*) AS n FROM linedruns GROUP BY ALL)"""))
 def p2(spark, sf):
     return layout.rebuild_lines(v.words(spark, sf)).select(
         "scan_id", "line_no", F.md5("text").alias("text_md5"), v.r6("x").alias("x"), v.r6("y").alias("y"), F.size("words").alias("n_words"))
@@ -164,7 +179,18 @@ def p10(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum("word_no").alias("words"))
 
 
-@query("p10_merge_passes")
+# One fold per scan over the candidates in pass and word order: those kept so far.
+add("cands", ["passrows", "primary1"], f"""SELECT scan_id, pass_no, word_no, x, y, w, h FROM (SELECT p.*, primary_pass FROM passrows p JOIN primary1 USING (scan_id)
+  WHERE p.pass_no<>primary_pass AND conf>=60) c WHERE NOT EXISTS ({_OVER})""")
+_IW, _IH = "(least(c.x+c.w,k.x+k.w)-greatest(c.x,k.x))", "(least(c.y+c.h,k.y+k.h)-greatest(c.y,k.y))"
+add("admitted", ["cands"], f"""SELECT scan_id, unnest(list_reduce(cs[2:], lambda a, c: CASE WHEN len(list_filter(a, lambda k: {_IW}>0 AND {_IH}>0
+    AND ({_IW}*{_IH}>=0.6::DOUBLE*greatest(1,c.w*c.h) OR {_IW}*{_IH}/(c.w*c.h+k.w*k.h-{_IW}*{_IH})>=0.3::DOUBLE)))>0 THEN a ELSE list_append(a, c) END, cs[1:1])) AS k
+  FROM (SELECT scan_id, list({{'pass_no': pass_no, 'word_no': word_no, 'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY pass_no, word_no) AS cs FROM cands GROUP BY scan_id)""")
+
+
+@query("p10_merge_passes", with_("admitted", """SELECT scan_id, pass_no, count(*) AS n, sum(word_no)::BIGINT AS words FROM (
+  SELECT scan_id, pass_no, word_no FROM passrows JOIN primary1 USING (scan_id) WHERE pass_no=primary_pass
+  UNION ALL SELECT scan_id, k.pass_no, k.word_no FROM admitted) GROUP BY ALL"""))
 def p10m(spark, sf):
     return layout.merge_passes(_passes(spark, sf)).groupBy("scan_id", "pass_no").agg(
         F.count(F.lit(1)).alias("n"), F.sum("word_no").alias("words"))
