@@ -75,16 +75,19 @@ def neighbourhood(lines: DataFrame, span: int) -> DataFrame:
 
 # ----------------------------------------------------------------- phrase positions
 def _find(norm: Column, phrase: str) -> Column:
-    """Position from 0 of the first occurrence, null when absent."""
-    return F.nullif(F.instr(norm, F.lit(phrase)), F.lit(0)) - 1
+    """Position from 0 of the first occurrence, null when absent.
+
+    Whether a line holds a phrase is a search over bytes; only lines that do pay for the search that counts characters.
+    """
+    return F.when(norm.contains(phrase), F.instr(norm, F.lit(phrase)) - 1)
 
 
 def exact_key_end(norm: Column, first_len: Column, field: str) -> Column:
     """End of the first listed key that starts on the window's own line."""
     ends = []
     for phrase in dims.KEY_PHRASES[field]:
-        at = _find(norm, phrase)
-        ends.append(F.when(at < first_len, at + len(phrase)))
+        at = F.instr(norm, F.lit(phrase)) - 1
+        ends.append(F.when(norm.contains(phrase) & (at < first_len), at + len(phrase)))
     return F.coalesce(*ends)
 
 
