@@ -1,42 +1,102 @@
 """Incremental history and running counts.
 
 The history is a log: every micro-batch writes its own folder named by its number, so a
-repeated batch overwrites only itself. Readers take the latest row per scan; compaction
-folds the log into one table from time to time. No batch ever rewrites old data.
+repeated batch overwrites only itself, and commits it when it is whole. Readers take the
+newest compacted table and only the batches committed after it. Compaction writes a new
+table, commits it with the last batch it holds, and drops what no snapshot but the one
+before needs. Nothing that a reader can see is ever rewritten.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from packaudit.functions import skew
+from packaudit.streaming.manifest import Manifest, Snapshot
 
 LOG_COL = "log_batch"
 
 
+def _folder(batch: int) -> str:
+    return f"{LOG_COL}={batch}"
+
+
+def log_batch(batch: DataFrame, batch_id: int, path: str, order: str) -> None:
+    """Write one batch of history rows and commit it; within it the row with the largest ``order`` wins for each scan."""
+    manifest = Manifest(batch.sparkSession, path)
+    if batch_id <= manifest.snapshot().upto:
+        return  # repeated after its rows were folded
+    latest = skew.last_by(batch, ["scan_id"], order)
+    (latest.withColumn("batch_seq", F.lit(batch_id).cast("bigint"))
+     .write.mode("overwrite").parquet(f"{path}/{_folder(batch_id)}"))
+    manifest.commit(batch_id)
+
+
 def stream_history(rows: DataFrame, path: str, checkpoint: str, order: str) -> DataStreamWriter:
     """Writer that logs history rows batch by batch.
 
-    Within a batch the row with the largest ``order`` wins for each scan.
+    A crash before the commit leaves a folder that no reader opens; the stream repeats
+    the batch and overwrites it.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        latest = skew.last_by(batch, ["scan_id"], order)
-        (latest.withColumn("batch_seq", F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").parquet(f"{path}/{LOG_COL}={batch_id}"))
-
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+    return (rows.writeStream.foreachBatch(lambda batch, batch_id: log_batch(batch, batch_id, path, order))
+            .option("checkpointLocation", checkpoint).outputMode("append"))
+
+
+def _state(spark: SparkSession, path: str, snapshot: Snapshot, batches: list[int]) -> DataFrame:
+    """Latest row per scan of a snapshot and the batches after it."""
+    recent = None
+    if batches:
+        log = spark.read.option("basePath", path).parquet(*[f"{path}/{_folder(b)}" for b in batches]).drop(LOG_COL)
+        recent = skew.last_by(log, ["scan_id"], "batch_seq")
+    if snapshot.table is None:
+        if recent is None:
+            raise ValueError(f"no batch has been committed below {path}")
+        return recent
+    table = spark.read.parquet(f"{path}/{snapshot.table}")
+    if recent is None:
+        return table
+    # Every batch is newer than the table, which holds a scan once: no shuffle of the table for a few new rows.
+    kept = table.join(recent.select(F.col("scan_id").alias("newer")), F.col("scan_id").eqNullSafe(F.col("newer")), "left_anti")
+    return kept.unionByName(recent.select(*kept.columns))
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Current history: the latest logged row of each scan."""
-    log = spark.read.option("basePath", path).parquet(path).drop(LOG_COL)
-    return skew.last_by(log, ["scan_id"], "batch_seq")
+    manifest = Manifest(spark, path)
+    snapshot = manifest.snapshot()
+    return _state(spark, path, snapshot, manifest.newer(snapshot.upto))
+
+
+def compact_log(spark: SparkSession, path: str) -> Snapshot:
+    """Fold all committed batches into a new table and make it what readers take.
+
+    Folders that the snapshot before had folded, and its predecessor's table, go; what it reads itself stays until the next compaction, for readers
+    that have begun. A crash at any point leaves the old snapshot or the new one whole.
+    """
+    manifest = Manifest(spark, path)
+    last = manifest.snapshot()
+    batches = manifest.newer(last.upto)
+    if not batches:
+        return last
+    table = f"_table-{uuid.uuid4().hex}"
+    _state(spark, path, last, batches).write.parquet(f"{path}/{table}")
+    new = manifest.advance(last, table, batches[-1])
+    for batch in (int(n.partition("=")[2]) for n in manifest.files.names("") if n.startswith(f"{LOG_COL}=")):
+        if batch <= last.upto:
+            manifest.files.drop(_folder(batch))
+            manifest.files.drop(f"_commits/{batch}")
+    for name in manifest.files.names(""):
+        if name.startswith("_table-") and name not in (last.table, new.table):
+            manifest.files.drop(name)
+    return new
 
 
 def compact_history(spark: SparkSession, path: str, target: str) -> None:
-    """Fold the log into a table split by day and sorted by scan, for pruned reads."""
+    """Copy the current history to a table split by day and sorted by scan, for pruned reads."""
     (read_history(spark, path).withColumn("day", F.to_date("ts"))
      .repartition("day", F.pmod(F.xxhash64("scan_id"), F.lit(16)))
      .sortWithinPartitions("scan_id").write.mode("overwrite").partitionBy("day").parquet(target))

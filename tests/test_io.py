@@ -118,6 +118,47 @@ def test_history_log_replays_and_compacts(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "table")).count() == 2
 
 
+def test_readers_take_the_snapshot_and_newer_committed_batches(spark, tmp_path):
+    path = str(tmp_path / "log")
+
+    def batch(rows):
+        return spark.createDataFrame(rows, "scan_id string, ts string, overall string")
+
+    def state():
+        return {r.scan_id: r.overall for r in sh.read_history(spark, path).collect()}
+
+    def files():
+        return {f.split(path)[1].split("/")[1] for f in sh.read_history(spark, path).inputFiles()}
+
+    with pytest.raises(ValueError, match="no batch"):
+        sh.read_history(spark, path)
+    sh.log_batch(batch([("a", "1", "COMPLIANT"), (None, "1", "COMPLIANT"), ("b", "1", "COMPLIANT"), ("b", "2", "REVIEW_REQUIRED")]), 0, path, "ts")
+    sh.log_batch(batch([("a", "3", "NON_COMPLIANT")]), 1, path, "ts")
+    want = {"a": "NON_COMPLIANT", "b": "REVIEW_REQUIRED", None: "COMPLIANT"}
+    assert state() == want and files() == {"log_batch=0", "log_batch=1"}
+    # A batch whose writer died before its commit is not seen, and is written again by its repetition.
+    batch([("a", "9", "half")]).withColumn("batch_seq", F.lit(2).cast("bigint")).write.parquet(f"{path}/log_batch=2")
+    assert state() == want
+    first = sh.compact_log(spark, path)
+    assert first.upto == 1 and state() == want and files() == {first.table}
+    # The same batch once more, after it was folded: nothing changes.
+    sh.log_batch(batch([("a", "3", "NON_COMPLIANT")]), 1, path, "ts")
+    assert state() == want and files() == {first.table}
+    sh.log_batch(batch([("b", "4", "COMPLIANT"), ("c", "4", "COMPLIANT"), (None, "4", "NON_COMPLIANT")]), 2, path, "ts")
+    want = {"a": "NON_COMPLIANT", "b": "COMPLIANT", "c": "COMPLIANT", None: "NON_COMPLIANT"}
+    assert state() == want and files() == {first.table, "log_batch=2"}
+    # A compaction that died before its commit leaves a table that no reader opens; the next one clears it away.
+    batch([("z", "1", "half")]).write.parquet(f"{path}/_table-dead")
+    assert state() == want
+    second = sh.compact_log(spark, path)
+    assert second.number == 2 and state() == want and files() == {second.table} and sh.compact_log(spark, path) == second
+    left = {n for n in os.listdir(path) if not n.startswith(("_commits", "_snapshots"))}
+    assert left == {first.table, second.table, "log_batch=2"}
+    with pytest.raises(RuntimeError, match="another compaction"):
+        sh.Manifest(spark, path).advance(first, "_table-late", 9)
+    assert state() == want
+
+
 def test_stored_history_rewrites_only_touched_buckets(spark, tmp_path):
     path = str(tmp_path / "table")
 
