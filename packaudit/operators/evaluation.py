@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from packaudit import dims
@@ -336,27 +337,30 @@ def fit_physical(pairs: DataFrame, k: float = 2.0) -> DataFrame:
 def band_sweep(records: DataFrame, model: DataFrame) -> DataFrame:
     """Replay adjudicated measurements at a range of bands and the fitted one.
 
-    ``safest`` marks the smallest band without a wrong decisive verdict. Bands are a fixed
-    list; each row is expanded in place and counted before the shuffle.
+    ``safest`` marks the smallest band without a wrong decisive verdict. As a band grows, a measurement is decisive, always with
+    the same verdict, up to some band and borderline beyond. So each is counted once, by the number of bands at which it is decisive,
+    and what is decisive at a band is the sum over those that hold out longer, a running sum over as many rows as there are bands.
     """
     bands = F.array_sort(F.array_distinct(F.concat(
         F.array(*[F.lit(b) for b in dims.BAND_SWEEP]),
         F.array_compact(F.array(tx.round_to("band_override_mm", 4))))))
-    rows = (measured(records, adjudicated=True).where(F.col("required_mm").isNotNull())
-            .select("measured_mm", "gt_mm", "required_mm")
-            .crossJoin(F.broadcast(model.select(bands.alias("bands"))))
-            .withColumn("band", F.explode("bands")))
     m, req = F.col("measured_mm"), F.col("required_mm")
-    truth = F.when(F.col("gt_mm") >= req, PASS).otherwise(FAIL)
-    p = ru.verdict(m, req, F.col("band"))
-    near = F.abs(F.col("gt_mm") - req) <= dims.NEAR_MM
-    scored = rows.select("band", near.alias("near"), (p != BORDERLINE).alias("dec"),
-                         ((p != BORDERLINE) & (p != truth)).alias("wrong"))
-    per = scored.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), count_if(F.col("dec")).alias("decisive"),
-        count_if(F.col("wrong")).alias("wrong"), count_if(F.col("near")).alias("near_n"),
-        count_if(F.col("near") & F.col("dec")).alias("near_decisive"),
+    holds = F.size(F.filter("bands", lambda b: (m >= req + b) | (m <= req - b)))
+    wrong = (m >= req) != (F.col("gt_mm") >= req)
+    rows = (measured(records, adjudicated=True).where(req.isNotNull())
+            .crossJoin(F.broadcast(model.select(bands.alias("bands"))))
+            .select(holds.alias("i"), wrong.alias("wrong"), (F.abs(F.col("gt_mm") - req) <= dims.NEAR_MM).alias("near")))
+    counts = rows.groupBy("i").agg(
+        F.count(F.lit(1)).alias("n"), count_if(F.col("wrong")).alias("wrong"), count_if(F.col("near")).alias("near"),
         count_if(F.col("near") & F.col("wrong")).alias("near_wrong"))
+    listed = model.select(F.posexplode(bands).alias("i", "band")).select(
+        "band", (F.col("i") + 1).alias("i"), *[F.lit(0).cast("bigint").alias(c) for c in ("n", "wrong", "near", "near_wrong")])
+    both = listed.unionByName(counts.withColumn("band", F.lit(None).cast("double")))
+    all_, longer = W.partitionBy(), W.orderBy(F.desc("i")).rangeBetween(W.unboundedPreceding, 0)
+    per = both.select(
+        "band", F.sum("n").over(all_).alias("n"), F.sum("n").over(longer).alias("decisive"), F.sum("wrong").over(longer).alias("wrong"),
+        F.sum("near").over(all_).alias("near_n"), F.sum("near").over(longer).alias("near_decisive"),
+        F.sum("near_wrong").over(longer).alias("near_wrong")).where("band is not null and n > 0")
     safe = per.agg(F.min(F.when(F.col("wrong") == 0, F.col("band"))).alias("_safe"))
     return per.crossJoin(F.broadcast(safe)).select(
         "band", "n", "decisive", "wrong", "near_n", "near_decisive", "near_wrong",

@@ -147,9 +147,9 @@ def g2(spark, sf):
 
 
 @query("g3_square_homography", with_("homo", "SELECT scan_id, " + ", ".join(
-    f"{r6(f'CASE WHEN has_h THEN m{i} END')} AS m{i}" for i in range(8)) + " FROM homo WHERE known IS NULL"))
+    f"{r6(f'CASE WHEN has_h THEN m{i} END')} AS m{i}" for i in range(8)) + " FROM homo"))
 def g3(spark, sf):
-    h = capture.with_homography(v.captures(spark, sf).where(F.col("known_px_per_mm").isNull()))
+    h = capture.with_homography(v.captures(spark, sf))
     return h.select("scan_id", *[v.r6(F.get("h_mm_to_px", F.lit(i))).alias(f"m{i}") for i in range(8)])
 
 

@@ -12,6 +12,7 @@ from packaudit.operators import extraction as ex, history as hs, layout
 from packaudit.plans import pack_consensus, scan_report
 from packaudit.operators import presentation as pr
 from verification import views as v
+from verification.core_queries import REASON, _messages
 from verification.sql import add, r6, with_
 
 QUERIES: dict = {}
@@ -502,12 +503,11 @@ def f18(spark, sf):
 
 
 @query("f19_parse_month_year", """SELECT o_orderkey AS k, month(o_orderdate)::INTEGER AS month, CASE WHEN o_orderkey%4=2 THEN 2000+year(o_orderdate)%100 ELSE year(o_orderdate)+20 END::INTEGER AS year,
-  CASE WHEN o_orderkey%4=0 AND day(o_orderdate)%10 BETWEEN 1 AND 9 THEN day(o_orderdate)%10 WHEN o_orderkey%4=0 THEN NULL ELSE month(o_orderdate) END::INTEGER AS strict_month FROM orders
-  WHERE NOT (o_orderkey%4=0 AND day(o_orderdate)%10=0)""")
+  CASE WHEN o_orderkey%4=0 AND day(o_orderdate)%10 BETWEEN 1 AND 9 THEN day(o_orderdate)%10 ELSE month(o_orderdate) END::INTEGER AS strict_month FROM orders""")
 def f19(spark, sf):
-    o = v.table(spark, sf, "orders").where(~((F.col("o_orderkey") % 4 == 0) & (F.dayofmonth("o_orderdate") % 10 == 0)))
+    o = v.table(spark, sf, "orders")
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
-    # A day below 13 read as a month is what the strict order does; days here end in 1 to 9.
+    # A day below 13 read as a month is what the strict order does; one that ends in 0 is none, and the month follows.
     text = (F.when(k % 4 == 0, F.concat(F.lit("on "), F.lit("2"), (F.dayofmonth(d) % 10).cast("string"), F.lit("/"),
                                         F.date_format(d, "MM"), F.lit("/"), (F.year(d) + 20).cast("string")))
             .when(k % 4 == 1, F.concat(F.date_format(d, "MM"), F.lit("-"), (F.year(d) + 20).cast("string")))
@@ -606,10 +606,28 @@ def h1(spark, sf):
     return rows.select("scan_id", "net_quantity", "mrp", "manufacturer")
 
 
-@query("x6_report_lines", with_("decl", """SELECT '2 declarations' AS section, count(*) AS n FROM decl UNION ALL SELECT '3 heights', (SELECT count(*) FROM decl WHERE has_height)
-  +(SELECT count(*) FROM (SELECT scan_id FROM decl GROUP BY 1 HAVING NOT bool_or(has_height)))
-  UNION ALL SELECT '1 calibration', (SELECT count(DISTINCT scan_id) FROM decl)+(SELECT count(*) FROM orders WHERE o_orderkey%5=0 AND o_orderkey::VARCHAR IN (SELECT scan_id FROM decl))
-  UNION ALL SELECT '5 uncertainty', count(DISTINCT scan_id) FROM decl UNION ALL SELECT '6 scope', 4*count(DISTINCT scan_id) FROM decl"""))
+def _report_sections() -> str:
+    """Lines of the report's sections; those of calibration and heights by their number only."""
+    req = "CASE field " + " ".join(f"WHEN '{f}' THEN '{t}'" for f, t in dims.DECLARATIONS) + " END"
+    m = dims.SHIPPED_BAND_MODEL
+    band = f"bias {m['bias_mm']:+.4f} mm, sigma {m['sigma_mm']:.4f} mm, k={m['k']}, band +/-{m['band_override_mm']:.3f} mm"
+    scope = [f"{kind}: {what}".replace("'", "''") for kind, what in dims.SCOPE if kind != "in"]
+    kinds = "CASE kind WHEN 'violation' THEN '4 violations' WHEN 'borderline' THEN '4 borderline' ELSE '4 not assessed' END"
+    return f""", src AS (SELECT *, scan_id AS key, {REASON} AS reason FROM decl), msg AS ({_messages(False)}),
+scans AS (SELECT scan_id, bool_or(has_height) AS any_height FROM decl GROUP BY 1),
+lines AS (SELECT scan_id, '2 declarations' AS section, ord AS a, 0 AS b, '['||CASE presence_verdict WHEN 'PASS' THEN 'OK' WHEN 'FAIL' THEN 'MISS' ELSE '?' END||'] '
+    ||{req}||': '||coalesce(value_text,'-') AS text FROM decl
+  UNION ALL SELECT key, {kinds}, ord, part, text FROM msg
+  UNION ALL SELECT scan_id, '5 uncertainty', 0, 0, '{band}' FROM scans
+  UNION ALL SELECT scan_id, '6 scope', t.i, 0, t.s FROM scans, (VALUES {", ".join(f"({i},'{t}')" for i, t in enumerate(scope))}) t(i, s)
+  UNION ALL SELECT scan_id, '3 heights', ord, 0, '' FROM decl WHERE has_height
+  UNION ALL SELECT scan_id, '3 heights', 0, 0, '' FROM scans WHERE NOT any_height
+  UNION ALL SELECT scan_id, '1 calibration', 0, 0, '' FROM scans
+  UNION ALL SELECT scan_id, '1 calibration', 1, 0, '' FROM scans JOIN orders ON o_orderkey::VARCHAR=scan_id WHERE o_orderkey%5=0)
+"""
+
+
+@query("x6_report_lines", with_("decl", _report_sections() + digest_sql("scan_id, section", "a, b", ["text"], "lines")).replace("\n, src AS", ",\n src AS"))
 def x6(spark, sf):
     req = dims.literal_map(dict(dims.DECLARATIONS))
     d = v.declarations(spark, sf).withColumns({
@@ -621,7 +639,8 @@ def x6(spark, sf):
         "scan_id", F.lit(1).alias("seq"), F.lit("EXCESSIVE_TILT").alias("gate"), F.lit(True).alias("blocking_height"),
         F.lit(None).cast("string").alias("field"), F.lit("tilt").alias("detail"))
     lines = pr.report_lines(scan_report.assemble(orders, d, gate_rows), dims.band_model(spark))
-    return lines.where(~F.col("section").startswith("4")).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    counted = F.col("section").isin("1 calibration", "3 heights")
+    return digest(lines.withColumn("text", F.when(counted, "").otherwise(F.col("text"))), ["scan_id", "section"], ["ord"], ["text"])
 
 
 @query("c_audit_packs")
