@@ -55,6 +55,27 @@ def test_recogniser_files(spark, tmp_path):
     assert [(x.c, x.x, x.y, x.w, x.h) for x in c] == [("N", 10, 5, 10, 15)]
 
 
+def test_a_folder_of_images_is_one_read(spark, tmp_path):
+    """Fifty images of their own height and scale, in one call and one plan."""
+    head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n"
+    (tmp_path / "w").mkdir()
+    (tmp_path / "c").mkdir()
+    sizes = {f"scan{i}": (100 + i, float(1 + i % 4)) for i in range(50)}
+    for scan, (height, _) in sizes.items():
+        (tmp_path / "w" / f"{scan}.tsv").write_text(head + "5\t1\t1\t1\t1\t1\t24\t48\t36\t12\t91.5\tNet\n")
+        (tmp_path / "c" / f"{scan}.box").write_text(f"N 12 {height - 60} 48 {height - 24} 0\n")
+    images = spark.createDataFrame([(k, *v) for k, v in sizes.items() if k != "scan7"] + [("scan7", None, None), ("other", 9, 9.0)],
+                                   "scan_id string, img_h int, scale double")
+    words = ocr.read_ocr_words(spark, str(tmp_path / "w"), images=images, scale=3.0).collect()
+    own = {**sizes, "scan7": (None, 3.0)}
+    assert sorted((r.scan_id, r.x, r.y, r.w, r.h) for r in words) == sorted(
+        (k, *[round(v / s) for v in (24, 48, 36, 12)]) for k, (_, s) in own.items())
+    chars = ocr.read_ocr_chars(spark, str(tmp_path / "c"), images=images)
+    assert sorted((r.scan_id, r.x, r.y, r.w, r.h) for r in chars.collect()) == sorted(
+        (k, *[round(v / s) for v in (12, 24, 36, 36)]) for k, (_, s) in sizes.items() if k != "scan7")
+    assert chars.columns == ["scan_id", "c", "x", "y", "w", "h"]
+
+
 def test_band_model_defaults_and_missing_file(spark, tmp_path):
     path = str(tmp_path / "m.json")
     with open(path, "w") as f:
