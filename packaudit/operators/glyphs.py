@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packaudit.functions import skew
+from packaudit.functions import scan, skew
 
 KEYS = ["scan_id", "field"]
 MIN_AREA, MIN_HEIGHT = 5, 3
@@ -32,16 +32,23 @@ def digit_restrict(glyphs: DataFrame, chars: DataFrame) -> DataFrame:
     """Keep glyphs centred on a recognised digit, if that leaves a usable set (M2).
 
     ``chars`` holds (scan_id, field, c, x, w) in crop coordinates. The restriction holds
-    when two or more survive, or one of at most two. Adds ``used_char_boxes``.
+    when two or more survive, or one of at most two. Adds ``used_char_boxes``. A sweep finds the centres inside a digit, so a
+    field of many glyphs and digits costs no pairs and spreads over tasks.
     """
     digits = chars.where(F.col("c").rlike("^[0-9]$")).select(
-        *KEYS, F.greatest(F.col("x"), F.lit(0)).alias("_a"), (F.col("x") + F.col("w")).alias("_b"))
+        *KEYS, F.greatest(F.col("x"), F.lit(0)).alias("a"), (F.col("x") + F.col("w")).alias("b")).where("a < b")
+    edge = F.explode(F.array(F.struct(F.col("a").cast("double").alias("at"), F.lit(1).alias("step")),
+                             F.struct(F.col("b").cast("double").alias("at"), F.lit(-1).alias("step")))).alias("e")
+    none = F.lit(None).cast(glyphs.select(F.struct("*").alias("g")).schema["g"].dataType)
+    edges = digits.select(*KEYS, edge).select(*KEYS, "e.at", F.lit(0).alias("turn"), "e.step", none.alias("g"))
     centre = F.floor(F.col("x") + F.col("w") / 2.0)
-    on = [F.col(f"g.{k}") == F.col(f"d.{k}") for k in KEYS]
-    inside = (centre >= 0) & (centre < F.col("crop_w")) & (centre >= F.col("_a")) & (centre < F.col("_b"))
-    hit = glyphs.alias("g").join(digits.alias("d"), on[0] & on[1] & inside, "left_semi").select(
-        *KEYS, "glyph_no", F.lit(True).alias("_hit"))
-    flagged = glyphs.join(hit, [*KEYS, "glyph_no"], "left")
+    inside = (centre >= 0) & (centre < F.col("crop_w"))
+    points = glyphs.select(*KEYS, centre.cast("double").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("step"),
+                           F.struct("*").alias("g"), inside.alias("inside"))
+    # Along a field, from left to right: how many digit boxes are open where a glyph's centre lies. Edges come before centres at the same place.
+    laid = scan.laid_out(points.unionByName(edges.withColumn("inside", F.lit(False))), KEYS, ["at", "turn"])
+    swept = scan.running(laid, KEYS, {"open": F.col("step")}).where("turn = 1")
+    flagged = swept.select("g.*", F.when(F.col("inside") & (F.col("open") > 0), True).alias("_hit"))
     counts = flagged.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.count("_hit").alias("_k"))
     usable = (F.col("_k") >= 2) | ((F.col("_k") == 1) & (F.col("_n") <= 2))
     return (flagged.join(counts.select(*KEYS, usable.alias("used_char_boxes")), KEYS)
