@@ -272,20 +272,59 @@ ITEM = "Then old Anna walked 5 km over the long red bridge and paid 12 dollars w
 
 
 def test_templates_catch_new_parameters_but_not_mixtures(spark, odd, none):
-    bench = spark.createDataFrame([(1, ITEM, "x"), (2, "too short to count", "x"), (3, None, "x"), (1, ITEM, "y")], "item_id long, text string, w string")
+    bench = spark.createDataFrame([(1, ITEM, "x"), (2, "too short to", "x"), (3, None, "x"), (1, ITEM, "y")], "item_id long, text string, w string")
     same = ITEM.replace("Anna", "Boris").replace("5", "77").replace("12", "3")
-    mixed = ITEM.replace("Anna", "Boris", 1)
+    changed = ITEM.replace("Anna", "Boris", 1)  # the rest stands word for word
+    mixed = "Then old Anna walked 5 km while poor Boris slept near Clara and paid 12 dollars over the long red sea"
     clean = "Quite another text about boats that sail over the long red sea and never come back to the quiet river bank again"
-    df = docs(spark, [(21, f"lead in words. {ITEM}", "en", "a"), (22, f"one {same} tail", "en", "a"), (23, mixed, "en", "a"), (24, clean, "en", "a"),
-                      (25, "odd " + " ".join(ITEM.split()[6:17]) + " even", "en", "a"), (25, f"x {ITEM}", "en", "a"), (None, ITEM, "en", "a")]).unionByName(odd)
+    df = docs(spark, [(21, f"lead in words. {ITEM}", "en", "a"), (22, f"one {same} tail", "en", "a"), (23, changed, "en", "a"), (24, clean, "en", "a"),
+                      (25, "odd " + " ".join(ITEM.split()[6:17]) + " even", "en", "a"), (25, f"x {ITEM}", "en", "a"), (None, ITEM, "en", "a"),
+                      (26, mixed, "en", "a")]).unionByName(odd)
     for limit in (10 ** 6, 0):  # broadcast and shuffled index
-        found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench, limit).collect()}
-        assert found == {(21, 1), (22, 1), (25, 1), (None, 1)}
+        found = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontaminate.contaminated(df, bench, limit).collect()}
+        assert found == {(21, 1): True, (22, 1): False, (23, 1): True, (25, 1): True, (None, 1): True}
     left = decontaminate.clean(df, bench)
-    assert left.columns == df.columns and left.count() == df.count() - 5
+    assert left.columns == df.columns and left.count() == df.count() - 6
     assert decontaminate.report(none, bench).collect() == [] and decontaminate.clean(df, bench.limit(0)).count() == df.count()
 
 
+SCARCE = {
+    1: "What is the capital of France", 2: "Tom has 12 kg, Ann has 15 kg, Bob has 9 kg and Eva has 7 kg of rice in the bag",
+    3: "There are 3 cows and 5 goats on the green farm near the old mill by the river", 4: "\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc",
+    5: "Add 2 and 2 apples to the small round basket that stands behind the old kitchen door"}
+
+
+def test_short_number_heavy_and_partly_changed_items_are_found(spark):
+    bench = spark.createDataFrame(list(SCARCE.items()), "item_id long, text string")
+    around = "some other words stand before it. {} and others after it"
+    rows = {10 * i: around.format(t) for i, t in SCARCE.items()}
+    rows |= {31: around.format(SCARCE[3].replace("3", "4").replace("5", "4")), 51: around.format(SCARCE[5].replace("2 and 2", "3 and 5")),
+             11: around.format(SCARCE[1].lower()), 12: around.format("What is the capital of Spain"), 22: around.format("Tom has 12 kg and that is all")}
+    df = docs(spark, [(i, t, "en", "a") for i, t in rows.items()])
+    for limit in (10 ** 6, 0):
+        found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench, limit).collect()}
+        assert found == {(10, 1), (20, 2), (30, 3), (40, 4), (50, 5), (31, 3), (51, 5), (11, 1)}
+
+
+def test_planted_runs_are_found(spark):
+    """Recall on items planted whole, in part and with new numbers and names; brute force says which runs there are."""
+    rng = np.random.default_rng(7)
+    plain = [f"{a}{b}" for a in ("ba", "ko", "mi", "tu", "re") for b in ("lan", "sor", "tip", "der", "mun", "vek")]
+
+    def item(n):
+        return " ".join(str(rng.integers(1, 99)) if rng.random() < 0.25 else rng.choice(plain) for _ in range(n))
+    items = {i: item(int(n)) for i, n in enumerate(rng.integers(4, 40, 60))}
+    rows, want = [], set()
+    for i, text in items.items():
+        w = text.split()
+        k = min(len(w), 11)
+        at = int(rng.integers(0, len(w) - k + 1))
+        rows += [(100 + i, f"{item(30)} {text} {item(30)}", "en", "a"), (200 + i, f"{item(20)} {' '.join(w[at:at + k])} {item(25)}", "en", "a")]
+        want |= {(100 + i, i), (200 + i, i)}
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert want <= found and len(found - want) <= 2
+
+
 # ------------------------------------------------------------------ pages
 CASES = [
     ("<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/x'>Home</a></li></ul></nav>"
