@@ -383,8 +383,8 @@ def x4l(spark, sf):
 
 
 @query("x5_todo_items", with_("decl", f"""SELECT scan_id, -1 AS ord, seq AS part, text FROM ({_TIP_SQL}) UNION ALL
-SELECT scan_id, ord, 0, 'missing: '||CASE field WHEN 'net_quantity' THEN 'Net quantity' WHEN 'mrp' THEN 'Retail sale price (MRP) inclusive of all taxes'
-  ELSE 'Month and year of manufacture / pre-packing / import' END FROM decl WHERE presence_verdict='FAIL' UNION ALL
+SELECT scan_id, ord, 0, 'missing: '||CASE field WHEN 'net_quantity' THEN 'How much the pack holds' WHEN 'mrp' THEN 'Highest retail price, taxes included'
+  ELSE 'When it was made, packed or imported, by month and year' END FROM decl WHERE presence_verdict='FAIL' UNION ALL
 SELECT scan_id, ord, 1, CASE verdict WHEN 'FAIL' THEN 'too small: ' ELSE 'too close to call: ' END||field||' is '||printf('%.2f mm against a minimum of %.1f mm', round_even(measured_mm*100,0)/100, round_even(required_mm*10,0)/10) FROM decl WHERE verdict IN ('FAIL','BORDERLINE')"""))
 def x5(spark, sf):
     req = dims.literal_map(dict(dims.DECLARATIONS))
