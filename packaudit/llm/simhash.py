@@ -1,10 +1,11 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked at a small Hamming distance.
 
-Multi-index hashing: a fingerprint is cut into SEGMENTS; in each segment the Hamming ball of radius 1 is
-enumerated while the other segments stay as they are, and the results are the keys of one table. Two
-fingerprints that differ in at most two bits meet on a key, whichever segments the two bits are in, and all that meet on a
-key are at most two bits apart, which is verified on the complete fingerprints. A key can hold 65 fingerprints at most,
-so a bucket is never large, and it links its members as a star: as many rows as members, not pairs.
+Multi-index hashing: a fingerprint is cut into SEGMENTS, of which two that differ in at most DISTANCE bits have SEGMENTS - DISTANCE
+in common. Each choice of so many segments has a table, keyed by their bits (six tables of 32-bit keys). The members of
+a table's bucket are compared on the complete fingerprint, as long as there are at most BUCKET of them. Fingerprints of a
+fuller bucket, which may hold any share of all, are not compared among themselves: the Hamming ball of radius 1 is enumerated
+in every segment of theirs, and two that differ in at most two bits meet on an element of both balls. Such a key holds 65
+fingerprints at most, and links them as a star. Either way every link is verified and none is lost.
 
 Distinct fingerprints only enter the table, so copies cost nothing. Defined cases: null and empty texts, and texts of white
 space, have fingerprint zero and are linked like any other; null doc_ids get a fingerprint and the smallest doc_id of
@@ -14,12 +15,12 @@ their component (null if it has none); every row gets its own result row; other
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packaudit.llm.graph import components
@@ -29,6 +30,10 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 2
 SEGMENTS = 4
+#: Members of a table's bucket that are compared with each other; fuller buckets go by balls.
+BUCKET = 32
+#: A full bucket meets the list of full buckets in so many parts.
+SALTS = 16
 _STEP = 1 << 16
 
 
@@ -73,20 +78,42 @@ def fingerprints(docs: DataFrame, keep: dict, words: int = SHINGLE) -> DataFrame
     return inner.mapInArrow(run, schema)
 
 
-def _segment_masks(segments: int) -> list[int]:
-    """Every way to flip at most one bit, segment by segment, as signed 64-bit masks."""
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def table_masks(segments: int = SEGMENTS) -> list[int]:
+    """The bits of every choice of segments that DISTANCE flipped bits can leave untouched, one mask a table."""
     width = 64 // segments
-    flips = [1 << bit for j in range(segments) for bit in range(j * width, (j + 1) * width if j < segments - 1 else 64)]
-    return [0, *[f - (1 << 64) if f >= 1 << 63 else f for f in flips]]
+    parts = [((1 << width) - 1) << (j * width) for j in range(segments)]
+    return [_signed(sum(chosen)) for chosen in combinations(parts, segments - DISTANCE)]
+
+
+def ball_masks() -> list[int]:
+    """Every way to flip at most one bit of a fingerprint."""
+    return [0, *[_signed(1 << bit) for bit in range(64)]]
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``print``, enough of them to connect all within DISTANCE bits."""
-    table = (prints.select("print", F.explode(F.lit(_segment_masks(SEGMENTS))).alias("mask"))
-             .select("print", F.col("print").bitwiseXOR(F.col("mask")).alias("key")).repartition("key"))
-    buckets = table.groupBy("key").agg(F.collect_list("print").alias("m")).where(F.size("m") > 1)
-    stars = buckets.select(F.array_min("m").alias("a"), F.explode("m").alias("b")).where("a <> b")
-    return stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).distinct()
+    masks = F.array(*[F.lit(m) for m in table_masks()])
+    tables = prints.select("print", F.pmod(F.xxhash64("print"), F.lit(SALTS)).cast("int").alias("salt"), F.posexplode(masks).alias("t", "mask")).select(
+        "print", "salt", "t", F.col("print").bitwiseAND(F.col("mask")).alias("key"))
+    # A bucket's count is combined before the shuffle; its rows meet the list of full buckets under a salt.
+    full = stage(tables.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
+                 .select("t", "key", F.explode(F.lit(list(range(SALTS)))).alias("salt")), "full-buckets")
+    met = (tables.join(full, ["t", "key", "salt"], "left_anti").groupBy("t", "key").agg(F.collect_list("print").alias("m"))
+           .where(F.size("m") > 1).select(F.explode("m").alias("a"), "m"))
+    pairs = met.select("a", F.explode(F.filter("m", lambda b: (b > F.col("a")) & near(F.col("a"), b))).alias("b"))
+    crowded = tables.join(full, ["t", "key", "salt"], "left_semi").select("print").distinct()
+    balls = (crowded.select("print", F.explode(F.lit(ball_masks())).alias("mask"))
+             .groupBy(F.col("print").bitwiseXOR(F.col("mask")).alias("key")).agg(F.collect_list("print").alias("m")).where(F.size("m") > 1))
+    stars = balls.select(F.array_min("m").alias("a"), F.explode("m").alias("b")).where("a <> b")
+    return pairs.unionByName(stars.where(near(F.col("a"), F.col("b")))).distinct()
+
+
+def near(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
 
 
 def grouped(prints: DataFrame, representative: str) -> DataFrame:

@@ -133,20 +133,32 @@ def test_simhash_components(spark):
     assert simhash.near_duplicates(df.limit(0)).collect() == []
 
 
-def test_links_join_all_pairs_within_two_bits(spark):
+@pytest.mark.parametrize("bucket", [1, 4, simhash.BUCKET])
+def test_links_join_all_pairs_within_two_bits(spark, bucket):
     rng = np.random.default_rng(9)
     prints = [int(x) for x in rng.integers(-2 ** 63, 2 ** 63 - 1, 20)]
     for p in prints[:10]:
         for a in rng.integers(0, 63, 6):
             prints.append(p ^ (1 << int(a)) ^ (1 << int(rng.integers(0, 63))))
+    # One table bucket that is full at any of the sizes, its members near and far from each other.
+    prints += [(int(x) << 32) | 12345 for x in rng.integers(-2 ** 31, 2 ** 31 - 1, 40)]
+    prints += [prints[-1] ^ (3 << int(b)) for b in rng.integers(32, 61, 20)]
     prints = sorted(set(prints))
-    edges = simhash.links(spark.createDataFrame([(p,) for p in prints], "print long")).collect()
+    edges = simhash.links(spark.createDataFrame([(p,) for p in prints], "print long"), bucket).collect()
+    assert all((e["a"] ^ e["b"]) & (2 ** 64 - 1) for e in edges)
+    assert all((((e["a"] ^ e["b"]) & (2 ** 64 - 1)).bit_count()) <= 2 for e in edges)
     at = {p: i for i, p in enumerate(prints)}
     u = 2 ** 64 - 1
     want = united(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if ((prints[i] & u) ^ (prints[j] & u)).bit_count() <= 2])
     assert united(len(prints), [(at[e["a"]], at[e["b"]]) for e in edges]) == want
 
 
+def test_simhash_tables_have_one_row_a_choice_of_segments():
+    masks = [m & (2 ** 64 - 1) for m in simhash.table_masks()]
+    assert len(set(masks)) == 6 and all(m.bit_count() == 32 for m in masks)
+    assert len(set(simhash.ball_masks())) == 65
+
+
 # ------------------------------------------------------------------ pipeline
 @HAVE
 def test_pipeline_stages_match_brute_force(spark):
