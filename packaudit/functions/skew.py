@@ -4,6 +4,7 @@
 ``ranked``          row number per key without sorting a whole key in one task
 ``in_blocks``       windows over neighbours, cut into blocks with a halo
 ``percentiles``     exact interpolated percentiles over counted values
+``suffix_percentiles``  the same for every suffix of ordered bins
 """
 
 from __future__ import annotations
@@ -93,15 +94,25 @@ def selected_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict
         "_cell", F.size(F.filter("_cuts", lambda s: s < F.col("_v"))))
     cells = celled.groupBy(*anchor, "_cell").agg(F.sum("_c").alias("_cc"), F.first("_n").alias("_n"))
     upto = F.sum("_cc").over(W.partitionBy(*anchor).orderBy("_cell"))
+    targets = _targets(cells.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("_cc")), anchor, probs)
+    inside = celled.join(targets.select(*anchor, "_cell").distinct(), [*anchor, "_cell"], "left_semi")
+    out = _read_off(inside, targets, anchor, probs)
+    return out if keys else out.drop("_all")
+
+
+def _targets(cells: DataFrame, anchor: list[str], probs: dict[str, float]) -> DataFrame:
+    """The wanted ranks of each group and the cell that holds each; ``cells`` has the first and the next cell's first rank, _lo and _hi."""
     wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
-    targets = (
-        cells.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("_cc"))
-        .withColumn("_w", F.explode(wanted))
+    return (
+        cells.withColumn("_w", F.explode(wanted))
         .withColumn("_t", F.col("_w.p") * (F.col("_n") - 1))
         .withColumn("_k", F.explode(F.array_distinct(F.array(F.floor("_t"), F.ceil("_t")))))
         .where((F.col("_k") >= F.col("_lo")) & (F.col("_k") < F.col("_hi")))
         .select(*anchor, "_cell", "_lo", "_k", F.col("_w.name").alias("_name"), "_t"))
-    inside = celled.join(targets.select(*anchor, "_cell").distinct(), [*anchor, "_cell"], "left_semi")
+
+
+def _read_off(inside: DataFrame, targets: DataFrame, anchor: list[str], probs: dict[str, float]) -> DataFrame:
+    """Interpolated values at the wanted ranks, from the counted values of the cells that hold them."""
     cum = F.sum("_c").over(W.partitionBy(*anchor, "_cell").orderBy("_v"))
     ranked_ = inside.withColumn("_to", cum).withColumn("_from", F.col("_to") - F.col("_c"))
     hits = (
@@ -110,9 +121,34 @@ def selected_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict
     ends = hits.groupBy(*anchor, "_name").agg(
         F.min_by("_v", "_k").alias("_vlo"), F.max_by("_v", "_k").alias("_vhi"),
         F.first(F.col("_t") - F.floor("_t")).alias("_f"))
-    out = ends.groupBy(*anchor).agg(*[
+    return ends.groupBy(*anchor).agg(*[
         F.max(F.when(F.col("_name") == n, _interpolated("_vlo", "_vhi", "_f"))).alias(n) for n in probs])
-    return out if keys else out.drop("_all")
+
+
+def suffix_percentiles(df: DataFrame, bin_: str, bins: int, value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact interpolated percentiles of all rows of bin ``b`` or higher, for every b from 1 to ``bins``.
+
+    Rows are counted once by bin and value, never copied per bin they belong to: all suffixes share one set of cut points,
+    a table of bins times cells (some thousand rows) is summed over suffixes, and only the cells that hold a wanted rank are
+    read for the suffixes that want them.
+    """
+    grid = [i / 128 for i in range(129)]
+    hist = stage(df.where(F.col(value).isNotNull()).groupBy(F.col(bin_).alias("_b"), F.col(value).cast("double").alias("_v"))
+                 .agg(F.count(F.lit(1)).alias("_c")), "histogram")
+    cuts = hist.agg(F.percentile_approx("_v", grid, 20000).alias("_cuts"))
+    celled = hist.crossJoin(F.broadcast(cuts)).withColumn("_cell", F.size(F.filter("_cuts", lambda s: s < F.col("_v")))).drop("_cuts")
+    upward = F.explode(F.sequence(F.lit(1), F.least("_b", F.lit(bins))))
+    cells = stage(celled.groupBy("_b", "_cell").agg(F.sum("_c").alias("_cc"))
+                  .select(upward.alias(bin_), "_cell", "_cc").groupBy(bin_, "_cell").agg(F.sum("_cc").alias("_cc")), "cells")
+    w = W.partitionBy(bin_)
+    upto = F.sum("_cc").over(w.orderBy("_cell"))
+    targets = _targets(cells.select("*", upto.alias("_hi"), (upto - F.col("_cc")).alias("_lo"), F.sum("_cc").over(w).alias("_n")), [bin_], probs)
+    # At most two cells for each bin and probability.
+    wanted = targets.groupBy("_cell").agg(F.collect_set(bin_).alias("_of"))
+    inside = (celled.join(F.broadcast(wanted), "_cell")
+              .select("_cell", "_v", "_c", F.explode(F.filter("_of", lambda b: b <= F.col("_b"))).alias(bin_))
+              .groupBy(bin_, "_cell", "_v").agg(F.sum("_c").alias("_c")))
+    return _read_off(inside, targets, [bin_], probs)
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:

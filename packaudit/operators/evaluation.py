@@ -16,6 +16,7 @@ from packaudit import dims
 from packaudit.functions import text as tx
 from packaudit.functions import quantity, rules as ru, skew
 from packaudit.functions.rules import ADJUDICATED, BORDERLINE, FAIL, NOT_ASSESSED, PASS
+from packaudit.session import stage
 
 CASE_COLS = ["tier", "overall", "legible", "calib_ok", "tilt_deg", "planarity_slope", "planarity_spread",
              "elapsed_ms", "error", "omitted"]
@@ -278,14 +279,23 @@ def gate_stats(records: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------- calibration
 def floor_sweep(records: DataFrame) -> DataFrame:
-    """Error statistics at and above each candidate resolution floor."""
-    floors = F.array(*[F.lit(f) for f in dims.FLOOR_SWEEP])
-    df = (measured(records, True, True).select("e", "ae", F.coalesce("src_ppmm", F.lit(0.0)).alias("src_ppmm"))
-          .withColumn("floor", F.explode(F.filter(floors, lambda f: F.col("src_ppmm") >= f))))
-    agg = df.groupBy("floor").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("e").alias("bias_mm"), F.stddev_samp("e").alias("sigma_mm"),
-        F.avg("ae").alias("mae_mm"))
-    return _with_percentiles(agg, df, ["floor"], "ae", {"p95_abs_mm": 0.95, "p99_abs_mm": 0.99})
+    """Error statistics at and above each candidate resolution floor.
+
+    A measurement falls into one bin, the number of floors it reaches. Count, mean and squared deviation of a bin merge into those
+    of every floor at or below it, so no measurement is copied per floor. Floors that none reaches have no row.
+    """
+    reached = F.size(F.filter(F.array(*[F.lit(f) for f in dims.FLOOR_SWEEP]), lambda f: F.coalesce("src_ppmm", F.lit(0.0)) >= f))
+    df = stage(measured(records, True, True).select("e", "ae", reached.alias("level")).where("level > 0"), "errors")
+    bins = df.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("m"), F.var_pop("e").alias("v"), F.avg("ae").alias("a"))
+    upward = bins.select(F.explode(F.sequence(F.lit(1), "level")).alias("level"), "n", "m", "v", "a")
+    whole = upward.groupBy("level").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("bias_mm"),
+                                        (F.sum(F.col("n") * F.col("a")) / F.sum("n")).alias("mae_mm"),
+                                        F.collect_list(F.struct("n", "m", "v")).alias("parts"))
+    squares = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["n"] * (x["v"] + F.pow(x["m"] - F.col("bias_mm"), 2)))
+    p = skew.suffix_percentiles(df, "level", len(dims.FLOOR_SWEEP), "ae", {"p95_abs_mm": 0.95, "p99_abs_mm": 0.99})
+    floor = F.element_at(F.array(*[F.lit(f) for f in dims.FLOOR_SWEEP]), F.col("level"))
+    return whole.join(p, "level").select(
+        floor.alias("floor"), "n", "bias_mm", F.sqrt(F.try_divide(squares, F.col("n") - 1)).alias("sigma_mm"), "mae_mm", "p95_abs_mm", "p99_abs_mm")
 
 
 def derive_gates(records: DataFrame, k: float = 4.0) -> DataFrame:
@@ -297,8 +307,10 @@ def derive_gates(records: DataFrame, k: float = 4.0) -> DataFrame:
     sweep = floor_sweep(records)
     passes = ((F.col("n") >= dims.FLOOR_MIN_SAMPLES) & (tx.round_to("p95_abs_mm", 4) <= dims.FLOOR_MAX_P95)
               & (tx.round_to("sigma_mm", 4) <= dims.FLOOR_MAX_SIGMA))
-    chosen = sweep.agg(F.coalesce(F.min(F.when(passes, F.col("floor"))), F.lit(dims.FLOOR_FALLBACK)).alias("floor"))
-    out = sweep.join(F.broadcast(chosen), "floor")
+    # The sweep has at most one row a floor, so its rows fit in one.
+    one = sweep.agg(F.coalesce(F.min(F.when(passes, F.col("floor"))), F.lit(dims.FLOOR_FALLBACK)).alias("chosen"),
+                    F.collect_list(F.struct(*sweep.columns)).alias("rows"))
+    out = one.select("chosen", F.inline("rows")).where("floor = chosen").drop("chosen")
     return out.withColumn("k", F.lit(float(k))).withColumn(
         "band_mm", F.greatest(F.abs("bias_mm") + F.lit(float(k)) * F.col("sigma_mm"), F.col("p99_abs_mm")))
 
