@@ -16,6 +16,8 @@ from packaudit.functions.rules import ADJUDICATED, NOT_ASSESSED, PASS
 from packaudit.operators import adjudication
 
 PACK_FIELD = ["pack_id", "field"]
+#: Parts in which the readings of one pack and field meet a table with a row for each.
+SALTS = 16
 
 
 def _best_first(label: Column, frame: Column) -> Column:
@@ -128,6 +130,21 @@ def consensus(rows: DataFrame, frames: DataFrame, model: DataFrame) -> DataFrame
         F.when(single, "single frame; no agreement available").alias("note"))
 
 
+def frame_values(rows: DataFrame) -> DataFrame:
+    """The readings that a pack's height is the median of: one row per pack, field and frame (C4).
+
+    Adjudicated readings count; where a field has none, all its readings do, and ``trusted`` is false. The fields that have
+    one meet the other readings under a salt, so a pack with any share of all frames spreads out.
+    """
+    mm = tx.round_to("measured_mm", 3)
+    read = rows.select(*PACK_FIELD, "frame_no", mm.alias("measured_mm"), F.col("verdict").isin(*ADJUDICATED).alias("trusted"),
+                       F.pmod(F.xxhash64("frame_no"), F.lit(SALTS)).cast("int").alias("_s")).where(F.col("measured_mm") != 0)
+    good = F.coalesce("trusted", F.lit(False))
+    decided = read.where(good).select(*PACK_FIELD).distinct().withColumn("_s", F.explode(F.lit(list(range(SALTS)))))
+    weak = read.where(~good).join(decided, [*PACK_FIELD, "_s"], "left_anti")
+    return read.where(good).unionByName(weak).select(*PACK_FIELD, "frame_no", "measured_mm", good.alias("trusted"))
+
+
 def frame_agreement(merged: DataFrame) -> DataFrame:
     """How well frames agree, for fields any frame measured or held to a height."""
     return merged.where(F.col("listed") & (F.col("n_frames") > 1)).select(

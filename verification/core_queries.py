@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packaudit import dims, session
 from packaudit.functions import geometry, rules as ru, text as tx
 from packaudit.operators import adjudication, capture, consensus as cs, gates, glyphs, history as hs, rules
+from packaudit.plans import pack_consensus
 from verification import views as v
 from verification.sql import ORD, advisory, r6, table_i, tier, with_
 
@@ -564,6 +565,72 @@ def c8(spark, sf):
                              F.array_join("disputed_fields", ",").alias("disputed_fields")))
 
 
+@query("c4_frame_values", with_("packrows frames", _MERGED + f""" SELECT pack_id, field, frame_no, {r6('mm')} AS measured_mm, good AS trusted
+  FROM u WHERE CASE WHEN trusted THEN good ELSE has END""").replace("\n, n AS", ",\n n AS"))
+def c4_values(spark, sf):
+    return v.flat(cs.frame_values(v.pack_rows(spark, sf)))
+
+
+def _places(e: str, digits: int) -> str:
+    one = f"1{'0' * digits}.0::DOUBLE"
+    return f"(round_even((round_even(({e})*1000000.0::DOUBLE,0)/1000000.0::DOUBLE)*{one},0)/{one})"
+
+
+def _shown(e: str, digits: int = 2) -> str:
+    return f"printf('%.{digits}f', {_places(e, digits)})"
+
+
+def _pack_report(spark, sf) -> pack_consensus.PackReport:
+    rows = v.pack_rows(spark, sf)
+    facts = rows.groupBy("pack_id", "frame_no").agg(F.max("tilt_deg").alias("tilt_deg"), F.min("src_ppmm").alias("src_ppmm"))
+    return pack_consensus.pack_report(rows, v.frames_of(rows), dims.band_model(spark), facts)
+
+
+@query("c_pack_declarations", with_("packrows frames", _MERGED + f""" SELECT pack_id, field, ord, present, presence_verdict, coalesce(value,'') AS value_text,
+  match_confidence, values_disagreed, info AS informational, frames_present, frames_measured, trusted AS measurement_trusted,
+  CASE WHEN used>0 THEN {_places('med', 3)} END AS measured_mm, CASE WHEN used>1 THEN {_places('spread', 3)} END AS spread_mm, required_mm, verdict,
+  CASE WHEN used>0 AND decided AND n_frames>1 THEN {_places('band', 4)} END AS band_mm, width_verdict, {_CREASON} AS reason
+  FROM mg""").replace("\n, n AS", ",\n n AS"))
+def c_declarations(spark, sf):
+    return _pack_report(spark, sf).declarations
+
+
+@query("c_pack_report", f"""SELECT a.pack_id, a.overall, a.violations, b.widest_spread_mm, coalesce(b.single_frame_fields,'') AS single_frame_fields,
+  coalesce(b.disputed_fields,'') AS disputed_fields, c.n_frames, c.base_frame, f.tilt_deg, {r6('f.src_ppmm')} AS src_ppmm
+FROM ({ORACLE['c7_consensus_rollup']}) a LEFT JOIN ({ORACLE['c8_agreement_summary']}) b ON a.pack_id=b.pack_id JOIN (""" + with_("frames", """SELECT pack_id,
+  arg_min(frame_no, struct_pack(a := -label_ppmm, b := frame_no)) AS base_frame, count(*) AS n_frames FROM frames GROUP BY pack_id""") + """) c
+  ON c.pack_id=a.pack_id LEFT JOIN (""" + with_("packrows", """SELECT pack_id, frame_no, max(tilt_deg) AS tilt_deg, min(src_ppmm) AS src_ppmm
+  FROM packrows GROUP BY ALL""") + ") f ON f.pack_id=c.pack_id AND f.frame_no=c.base_frame")
+def c_report(spark, sf):
+    out = _pack_report(spark, sf).packs
+    return v.flat(out.select("pack_id", "overall", joined("violations"), "widest_spread_mm",
+                             *[F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("single_frame_fields", "disputed_fields")],
+                             "n_frames", "base_frame", "tilt_deg", "src_ppmm"))
+
+
+@query("c_agreement_lines", with_("packrows frames", _MERGED + _AGREE + f""", rd AS (SELECT pack_id, field, ord, frame_no, mm,
+  row_number() OVER (PARTITION BY pack_id, field ORDER BY frame_no)-1 AS k FROM u WHERE CASE WHEN trusted THEN good ELSE has END),
+ap AS (SELECT pack_id, max(spread_mm) AS widest, string_agg(field, ', ' ORDER BY field) FILTER (WHERE frames_measured=1) AS lone,
+  string_agg(field, ', ' ORDER BY field) FILTER (WHERE values_disagreed) AS dis FROM ag GROUP BY pack_id)
+SELECT pack_id, 1 AS section, ord, 0::BIGINT AS part, rpad(field,22,' ')||' '||lpad(used::VARCHAR,greatest(4,length(used::VARCHAR))::INTEGER,' ')||'/'||n_frames||' '||
+  lpad({_shown('med')},greatest(7,length({_shown('med')}))::INTEGER,' ')||' mm  '||CASE WHEN used>1 THEN {_shown('spread')}||' mm' ELSE 'one frame' END AS text
+  FROM mg WHERE n_frames>1 AND used>0
+UNION ALL SELECT pack_id, 1, ord, k//12+1, string_agg({_shown('mm')}, ', ' ORDER BY frame_no) FROM rd JOIN n USING (pack_id) WHERE n_frames>1 GROUP BY pack_id, ord, k//12
+UNION ALL SELECT pack_id, 2, 0, 0, 'photos disagree on the text of: '||dis||'; the majority reading counts' FROM ap WHERE dis IS NOT NULL
+UNION ALL SELECT pack_id, 3, 0, 0, 'no second opinion, measured in one photo only: '||lone FROM ap WHERE lone IS NOT NULL
+UNION ALL SELECT pack_id, 4, 0, 0, 'widest spread between photos: '||{_shown('widest', 3)}||' mm' FROM ap WHERE widest IS NOT NULL""").replace("\n, n AS", ",\n n AS"))
+def c_lines(spark, sf):
+    return _pack_report(spark, sf).lines
+
+
+@query("c_audit_packs", f"""SELECT a.pack_id, a.overall, b.widest_spread_mm FROM ({ORACLE['c7_consensus_rollup']}) a
+  LEFT JOIN ({ORACLE['c8_agreement_summary']}) b ON a.pack_id=b.pack_id""")
+def c_audit(spark, sf):
+    rows = v.pack_rows(spark, sf)
+    out = pack_consensus.audit_packs(rows, v.frames_of(rows), dims.band_model(spark))
+    return v.flat(out.select("pack_id", "overall", "widest_spread_mm"))
+
+
 @query("c9_single_frame", with_("packrows frames", _MERGED + """ SELECT pack_id, field, verdict, presence_verdict,
   'single frame; no agreement available' AS note FROM mg WHERE n_frames=1""").replace("\n, n AS", ",\n n AS"))
 def c9(spark, sf):

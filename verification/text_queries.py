@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from packaudit import dims
 from packaudit.functions import fuzzy, geometry, quantity, text as tx
 from packaudit.operators import extraction as ex, history as hs, layout
-from packaudit.plans import pack_consensus, scan_report
+from packaudit.plans import scan_report
 from packaudit.operators import presentation as pr
 from verification import views as v
 from verification.core_queries import REASON, _messages
@@ -641,10 +641,3 @@ def x6(spark, sf):
     lines = pr.report_lines(scan_report.assemble(orders, d, gate_rows), dims.band_model(spark))
     counted = F.col("section").isin("1 calibration", "3 heights")
     return digest(lines.withColumn("text", F.when(counted, "").otherwise(F.col("text"))), ["scan_id", "section"], ["ord"], ["text"])
-
-
-@query("c_audit_packs")
-def audit(spark, sf):
-    rows = v.pack_rows(spark, sf)
-    out = pack_consensus.audit_packs(rows, v.frames_of(rows), dims.band_model(spark))
-    return v.flat(out.select("pack_id", "overall", "widest_spread_mm"))
