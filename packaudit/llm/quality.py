@@ -160,7 +160,10 @@ def _sigmoid(margin: np.ndarray, target: np.ndarray) -> tuple[float, float]:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """Features and label of at most ``size`` labelled documents of each class that are not held out."""
+    """Features and label of at most ``size`` labelled documents of each class that are not held out.
+
+    A doc_id that stands on many rows is one document: the text whose hash is smallest, then the smallest, counts.
+    """
     clear = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id")
              .agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2").drop("y2")
              .where(~held_out(2, 4)).withColumn("h", F.xxhash64("doc_id")))
@@ -169,7 +172,9 @@ def sampled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame
         one = clear.where(F.col("y") == y).orderBy("h", "doc_id").limit(size)
         picked = one if picked is None else picked.unionByName(one)
     # At most 2 * size rows of three numbers, whatever the table: safe to broadcast.
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    rows = (docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "h", "y")
+            .agg(F.min_by("text", F.struct(F.xxhash64("text").alias("a"), F.col("text").alias("b"))).alias("text")))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,8 +184,7 @@ def sampled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame
                 ["h", "y", "x"])
 
     found = rows.select("h", F.col("y").cast("int").alias("y"), "text").mapInArrow(extract, "h long, y int, x array<int>")
-    # A doc_id may stand on many rows; the bound holds all the same.
-    return found.orderBy("h", "x").limit(2 * size)
+    return found.orderBy("h", "x")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

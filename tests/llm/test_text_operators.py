@@ -198,6 +198,18 @@ def test_quality_learns_and_scores_held_out_rows(spark, odd, none):
     assert {r["score"] for r in quality.qualities(odd, marks.limit(0)).collect()} == {0.5}
 
 
+def test_a_repeated_doc_id_takes_one_place_in_the_sample(spark):
+    rows = [(1, f"copy number {i % 7} of it", "en", "a") for i in range(60)] + [(i, f"text of {i}", "en", "a") for i in range(2, 40)]
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    learnt = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    for size in (4, 100):
+        got = quality.sampled(docs(spark, rows).repartition(5), marks, size).collect()
+        again = quality.sampled(docs(spark, rows[::-1]), marks, size).collect()
+        assert [tuple(r) for r in got] == [tuple(r) for r in again]
+        for y in (0, 1):
+            assert sum(r["y"] == y for r in got) == min(size, sum(i % 2 == y for i in learnt))
+
+
 def test_indicators_do_not_depend_on_slices():
     texts = ["abc abc abc", "", LONG[:5000]]
     whole = list(quality.indicators(texts))
