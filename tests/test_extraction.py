@@ -129,3 +129,36 @@ def test_fuzzy_containment_equals_the_plain_ratio():
             assert fuzzy.contains_fuzzy(norm, token) == want, (norm, token)
             hits += want
         assert 0 < hits < 300
+
+
+def _above_lines(plan):
+    """The steps of a plan, root first, down to where a label becomes lines."""
+    return plan[:plan.index("Generate posexplode")]
+
+
+def test_lines_of_a_label_move_once(spark):
+    """A label is dealt out while it is one row; neither the neighbour windows nor the digest shuffle its lines again."""
+    from verification import text_queries as t
+    plan = t.QUERIES["f1_line_windows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in _above_lines(plan)
+
+
+def test_one_stage_alone(spark):
+    rows = [("a", i, t, 0, 40 * i, 10 * len(t), 20) for i, t in enumerate(["MRP: Rs. 249.00", "AA = 545/-", "Mfg. Date: 03/2025"])]
+    lines = spark.createDataFrame(rows, "scan_id string, line_no int, text string, x int, y int, w int, h int")
+    every = ex.candidates(lines, False, fields=["mrp", "mfg_date"])
+    for stage in ("keyed", "currency", "slash", "bare"):
+        want = [r.hit for r in every.where(F.col("hit.stage") == stage).orderBy("key_line", "hit.field").collect()]
+        got = [r.hit for r in ex.candidates(lines, False, fields=["mrp", "mfg_date"], only=stage).orderBy("key_line", "hit.field").collect()]
+        assert got == want and want
+
+
+def test_contact_only_where_it_may_be(spark):
+    texts = ["call 1800 266 2240", "9876543210", "+91-6987654321 x", "59876543210", "a@b.co", "18002662240", "none 12345", None]
+    want = [("", "1800 266 2240"), ("", "9876543210"), ("", "+91-6987654321"), ("", ""), ("a@b.co", ""), ("", "18002662240"), ("", ""), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, near3 string")
+    long_ = df.select("i", F.regexp_extract("near3", dims.EMAIL, 0).alias("e"), F.regexp_extract("near3", dims.PHONE, 0).alias("p"))
+    assert [(r.e, r.p) for r in long_.orderBy("i").collect()] == want
+    full = df.withColumns({"key_consumer_care": F.lit(None).cast("struct<conf:double,end:int>"), "line_no": F.lit(0), "len0": F.lit(1)})
+    got = {r.i: r.h.contact for r in full.select("i", ex.consumer_care().alias("h")).collect() if r.h}
+    assert {i: (c.email or "", c.phone or "") for i, c in got.items()} == {i: w for i, w in enumerate(want) if any(w)}
