@@ -467,7 +467,7 @@ vote AS (SELECT t.pack_id, t.field, CASE WHEN t.c=1 AND n_frames>=2 AND s.conf<0
 
 @query("c2_vote_value", with_("packrows frames", _VOTE + " SELECT * FROM vote").replace("\n, n AS", ",\n n AS"))
 def c2(spark, sf):
-    rows = v.pack_rows(spark, sf)
+    rows = v.staged_rows(spark, sf)
     return cs.vote_value(rows, cs.base_frame(v.frames_of(rows)))
 
 
@@ -498,7 +498,7 @@ mg AS (SELECT *, coalesce(used,0) AS frames_measured, CASE WHEN n_frames=1 THEN
 
 
 def _merged(spark, sf) -> DataFrame:
-    rows = v.pack_rows(spark, sf)
+    rows = v.staged_rows(spark, sf)
     return cs.consensus(rows, v.frames_of(rows), dims.band_model(spark))
 
 
@@ -568,7 +568,7 @@ def c8(spark, sf):
 @query("c4_frame_values", with_("packrows frames", _MERGED + f""" SELECT pack_id, field, frame_no, {r6('mm')} AS measured_mm, good AS trusted
   FROM u WHERE CASE WHEN trusted THEN good ELSE has END""").replace("\n, n AS", ",\n n AS"))
 def c4_values(spark, sf):
-    return v.flat(cs.frame_values(v.pack_rows(spark, sf)))
+    return v.flat(cs.frame_values(v.staged_rows(spark, sf)))
 
 
 def _places(e: str, digits: int) -> str:
@@ -581,7 +581,7 @@ def _shown(e: str, digits: int = 2) -> str:
 
 
 def _pack_report(spark, sf) -> pack_consensus.PackReport:
-    rows = v.pack_rows(spark, sf)
+    rows = v.staged_rows(spark, sf)
     facts = rows.groupBy("pack_id", "frame_no").agg(F.max("tilt_deg").alias("tilt_deg"), F.min("src_ppmm").alias("src_ppmm"))
     return pack_consensus.pack_report(rows, v.frames_of(rows), dims.band_model(spark), facts)
 
@@ -626,7 +626,7 @@ def c_lines(spark, sf):
 @query("c_audit_packs", f"""SELECT a.pack_id, a.overall, b.widest_spread_mm FROM ({ORACLE['c7_consensus_rollup']}) a
   LEFT JOIN ({ORACLE['c8_agreement_summary']}) b ON a.pack_id=b.pack_id""")
 def c_audit(spark, sf):
-    rows = v.pack_rows(spark, sf)
+    rows = v.staged_rows(spark, sf)
     out = pack_consensus.audit_packs(rows, v.frames_of(rows), dims.band_model(spark))
     return v.flat(out.select("pack_id", "overall", "widest_spread_mm"))
 
