@@ -200,3 +200,27 @@ def test_blocks_and_ranks_ignore_block_size(spark):
     for k in ("a", "b"):
         mine = sorted((x for x in r if x.key == k), key=lambda x: (x.v, x.pos))
         assert [x.rank for x in mine] == list(range(1, 61))
+
+
+def test_short_keys_stay_in_place_and_agree(spark, tmp_path):
+    """Running values of keys in place are those of rows sorted by range; a long key takes that way."""
+    from packaudit.functions import scan
+    rows = [(f"k{i % 7}", (i * 37) % 101, i, i % 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, x int, i int, v int").repartition(3, "k")
+
+    def values(laid):
+        ran = scan.running(scan.previous(laid, ["k"], {"was": F.col("i")}), ["k"], {"s": F.col("v")}, {"m": F.col("x") + F.col("v")})
+        strict = scan.running(ran, ["k"], {"t": F.col("v")}, {"u": F.col("v")}, strict=True)
+        return sorted(map(tuple, strict.drop("_at", "_part").collect()), key=repr)
+
+    here = scan.laid_by_key(df, ["k"], ["x", "i"])
+    assert values(here) == values(scan.laid_out(df, ["k"], ["x", "i"])) == values(scan.laid_by_key(df, ["k"], ["x", "i"], rows=10))
+    plan = scan.running(here, ["k"], {"s": F.col("v")})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_words_of_a_document_move_once(spark):
+    """Columns of a line are found where its words lie: only the documents are dealt out."""
+    from verification import text_queries as t
+    plan = t.QUERIES["p3_split_columns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan[:plan.index("Generate posexplode")] and "documents.parquet" in plan and "sorted-" not in plan
