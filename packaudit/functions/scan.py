@@ -21,6 +21,8 @@ from packaudit.session import stage
 
 #: Rows of a part, about.
 PART_ROWS = 200_000
+#: Rows of the longest key that stays in one task.
+KEY_ROWS = 50_000
 
 
 def laid_out(df: DataFrame, keys: list[str], order: list[str], rows: int = PART_ROWS, settled: bool = False) -> DataFrame:
@@ -36,14 +38,14 @@ def laid_out(df: DataFrame, keys: list[str], order: list[str], rows: int = PART_
                  .withColumn("_part", F.shiftright("_at", 33).cast("int")), "sorted")
 
 
-def laid_by_key(df: DataFrame, keys: list[str], order: list[str], rows: int = PART_ROWS) -> DataFrame:
+def laid_by_key(df: DataFrame, keys: list[str], order: list[str], rows: int = KEY_ROWS) -> DataFrame:
     """``laid_out`` for ``running`` and ``previous`` where keys are many: only if one has more than ``rows`` rows is all of it sorted by range.
 
     Otherwise a key is its own part and nothing is written or dealt out anew: ``df`` stays where it lies if it is dealt out by some of the keys,
     and ``_at`` is the order itself, so nothing is carried from part to part.
     """
     if df.groupBy(*keys).count().where(F.col("count") > rows).limit(1).count():
-        return laid_out(df, keys, order, rows)
+        return laid_out(df, keys, order)
     return df.select("*", F.struct(*order).alias("_at"), F.lit(0).alias("_part"))
 
 
