@@ -418,8 +418,8 @@ def mean_conf(scans: DataFrame, words: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- rows and regions
 def chars_in_roi(chars: DataFrame, rois: DataFrame) -> DataFrame:
-    """Characters that touch a field box (P14). A scan has at most six boxes."""
-    r = rois.select("scan_id", "field", *[F.col(c).alias("r" + c) for c in BOX_COLS])
+    """Characters that touch a field box (P14). A scan has at most six boxes, which are hashed, so that characters are not sorted."""
+    r = rois.select("scan_id", "field", *[F.col(c).alias("r" + c) for c in BOX_COLS]).hint("shuffle_hash")
     return (chars.join(r, "scan_id")
             .where((F.col("x") < F.col("rx") + F.col("rw")) & (F.col("x") + F.col("w") > F.col("rx"))
                    & (F.col("y") < F.col("ry") + F.col("rh")) & (F.col("y") + F.col("h") > F.col("ry")))
