@@ -59,3 +59,10 @@ def test_suffix_percentiles_of_one_crowded_bin(spark):
     for b in (1, 2, 3, 4):
         v = [x for k, x in rows if k >= b and x is not None]
         assert got[b] == pytest.approx((np.min(v), np.median(v)))
+
+
+def test_declarations_are_judged_once_for_records(spark):
+    """One aggregate picks the declarations; their scan's verdict needs neither a second one nor a join of them with themselves."""
+    from verification import views as v
+    plan = v.records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.count("Window") == 1
