@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packaudit.functions import skew
 from packaudit.operators import evaluation as ev
+from packaudit.session import stage
 
 
 def melt(df: DataFrame, section: str, keys: list[str]) -> DataFrame:
@@ -33,10 +34,10 @@ def run_facts(records: DataFrame) -> DataFrame:
 def eval_report(records: DataFrame, model: DataFrame, k: float = 4.0) -> DataFrame:
     """Every statistic of E2-E12 as (section, key, metric, value).
 
-    All sections read the same records; persist them once before calling when they are
-    costly to produce.
+    All sections read the same records, which are written once, and so are their cases.
     """
-    cases = ev.case_rows(records)
+    records = stage(records, "records")
+    cases = stage(ev.case_rows(records), "cases")
     sections = [
         melt(run_facts(records), "run", []),
         melt(ev.field_stats(records), "fields", ["population", "field"]),

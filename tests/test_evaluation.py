@@ -66,3 +66,23 @@ def test_declarations_are_judged_once_for_records(spark):
     from verification import views as v
     plan = v.records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and plan.count("Window") == 1
+
+
+def test_the_report_computes_its_records_once(spark):
+    from pyspark.sql import functions as F
+    from packaudit.plans import eval_report as er
+    from verification import views as v
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = v.records(spark, "/root/testdata/sf0.001")
+    rows = rows.mapInArrow(count, rows.schema)
+    n = rows.count()
+    seen.value = 0
+    report = er.eval_report(rows, dims.band_model(spark))
+    assert report.where(F.col("section") == "run").count() > 0 and report.count() > 50
+    assert seen.value == n
