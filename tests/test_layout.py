@@ -1,6 +1,7 @@
 """Line rebuild and word merging against brute force; skew helpers against the plain answer."""
 
 import random
+import re
 import statistics
 
 import numpy as np
@@ -157,6 +158,18 @@ def test_one_line_of_200000_words(spark):
     assert sorted(map(tuple, lines)) == [(0, 150_000), (1, 50_000)]
 
 
+def test_merge_candidates_stay_with_their_scan(spark):
+    """Words dealt out by scan are not dealt out again by cell or by word."""
+    rng = random.Random(4)
+    rows = [(f"s{s}", p, i, "abcd", rng.randint(0, 300), rng.randint(0, 300), rng.randint(5, 90), 20, 80.0)
+            for s in range(5) for p in range(3) for i in range(10)]
+    df = spark.createDataFrame(rows, "scan_id string, pass_no int, word_no int, text string, x int, y int, w int, h int, conf double")
+    out = layout.merge_candidates(df.repartition(4, "scan_id"), layout.pick_pass(layout.score_passes(df)))
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", out._jdf.queryExecution().executedPlan().toString())
+    assert dealt and not any("cell" in d or "word_no" in d for d in dealt)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merge_in_one_crowded_band(spark):
     """One scan of one band, boxes repeated and stacked: the greedy choice is the same and rounds work on all of it at once."""
     rng = random.Random(6)
