@@ -170,6 +170,14 @@ def test_merge_candidates_stay_with_their_scan(spark):
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bands_are_merged_not_broadcast(spark):
+    """The table of bands grows with the words; its files are small, but the driver must not hold it."""
+    df = spark.createDataFrame([("s", i, "abc", 10 * i, 0, 9, 10, 90.0) for i in range(20)],
+                               "scan_id string, word_no int, text string, x int, y int, w int, h int, conf double")
+    plan = layout.line_groups(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_merge_in_one_crowded_band(spark):
     """One scan of one band, boxes repeated and stacked: the greedy choice is the same and rounds work on all of it at once."""
     rng = random.Random(6)
