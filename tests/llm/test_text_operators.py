@@ -300,6 +300,17 @@ def test_templates_catch_new_parameters_but_not_mixtures(spark, odd, none):
     assert decontaminate.report(none, bench).collect() == [] and decontaminate.clean(df, bench.limit(0)).count() == df.count()
 
 
+def test_repeated_texts_of_the_benchmark_are_indexed_once_and_a_large_index_is_not_broadcast(spark):
+    bench = spark.createDataFrame([(i, ITEM) for i in (*range(300), None)], "item_id long, text string")
+    assert decontaminate.windows(bench).count() == decontaminate.windows(bench.limit(1)).count()
+    df = docs(spark, [(1, f"x {ITEM}", "en", "a"), (2, "nothing of it", "en", "a")])
+    for limit in (10 ** 6, 0):
+        found = decontaminate.contaminated(df, bench, limit)
+        assert sorted(str(r["item_id"]) for r in found.where("doc_id = 1").collect()) == sorted(str(i) for i in (*range(300), None))
+        assert found.count() == 301
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 SCARCE = {
     1: "What is the capital of France", 2: "Tom has 12 kg, Ann has 15 kg, Bob has 9 kg and Eva has 7 kg of rice in the bag",
     3: "There are 3 cows and 5 goats on the green farm near the old mill by the river", 4: "\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc",
