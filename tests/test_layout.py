@@ -245,3 +245,14 @@ def test_words_of_a_document_move_once(spark):
     from verification import text_queries as t
     plan = t.QUERIES["p3_split_columns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan[:plan.index("Generate posexplode")] and "documents.parquet" in plan and "sorted-" not in plan
+
+
+def test_words_are_grouped_once_for_all_that_reads_them(spark):
+    """Counting the groups, their medians and their runs each joined the words with their bands and numbered their lines again."""
+    rows = [(s, s * 100 + i, f"w{i}", 10 * (i % 7), 30 * (i // 7), 8, 10 + i % 3, 90.0) for s in range(3) for i in range(40)]
+    words = spark.createDataFrame(rows, "scan_id int, word_no int, text string, x int, y int, w int, h int, conf double")
+    plan = layout.rebuild_lines(words)._jdf.queryExecution().executedPlan().toString()
+    assert "number_lines" not in plan and "percentile" in plan
+    grouped = layout.line_groups(words).withColumn("h", F.col("h") + F.col("word_no") % 5)
+    runs = layout.split_columns(grouped)
+    assert not [n for n in ("Join",) if n in runs._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]]
